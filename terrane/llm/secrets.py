@@ -84,7 +84,7 @@ def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     step = np.diff(inside)
     begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     cuts = offsets[1:-1]
-    if len(cuts):  # a run does not reach over the end of a text
+    if len(cuts) and len(begin):  # a run does not reach over the end of a text
         at = np.searchsorted(begin, cuts, side="left") - 1
         hit = (at >= 0) & (begin[np.maximum(at, 0)] < cuts) & (end[np.maximum(at, 0)] > cuts)
         begin, end = np.union1d(begin, cuts[hit]), np.union1d(end, cuts[hit])
