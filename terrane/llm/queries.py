@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import contamination, quality, secrets, substrings
+from terrane.llm import _store, contamination, dialogues, packing, quality, secrets, substrings, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +38,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document of its id: bad if of low quality or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    known = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
+    outcomes = _read(spark, sf_dir, "labels").select("doc_id", F.when(known, F.coalesce(bad, F.lit(False)).cast("int")))
+    return urls.filter_urls(_read(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call begins with an empty cache, so that its figures hold the whole work."""
+    cache = f"{_store.shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    counted = tokens.count_tokens(_read(spark, sf_dir, "documents"), tokens.word_bpe(), cache)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.begin, s.stop)), ',')"
@@ -49,12 +65,31 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), tokens.word_bpe())
+
+
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = "array_join(transform(masks, m -> concat_ws(':', m.begin, m.stop)), ',')"
+    return dialogues.rotate(_read(spark, sf_dir, "conversations")).select(
+        "conv_id", "perspective", "part", "slot", "first_turn", "n_messages",
+        F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), F.expr(masks).alias("masks"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_bands": op1_quality_bands,
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_url_reputation": op4_url_reputation,
+    "op6_token_counts": op6_token_counts,
     "op8_secret_scan": op8_secret_scan,
+    "op9_best_two_fit": op9_best_two_fit,
+    "op10_perspective_rotation": op10_perspective_rotation,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_url_reputation": urls.ORACLE,
+    "op10_perspective_rotation": dialogues.ORACLE,
+}

@@ -73,7 +73,7 @@ def test_contamination_empty(spark):
 def test_secret_spans(spark):
     random_string = "aB3xK9mQ2zR7wT5vY8nL4pJ6"
     cases = {
-        0: ("é token = \"abcdefghijkl\" Api_Key:0123456789ab", [("assign", 2, 24), ("assign", 25, 45)]),
+        0: ("é token = \"abcdefghijkl\" Api_Key:0123456789ab", [("assign", 2, 23), ("assign", 25, 45)]),
         1: ("tokeN=short password: 'toolittle'", []),
         2: ("AKIA" + "Z9" * 7 + " AKIA123", [("access", 0, 18)]),
         3: ("0123456789abcdef 0123456789abcde", [("hex", 0, 16)]),
