@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import _store, contamination, dialogues, packing, quality, secrets, substrings, tokens, urls
+from terrane.llm import _store, contamination, dialogues, neighbours, packing, quality, secrets, substrings, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.begin, s.stop)), ',')"
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_reputation": op4_url_reputation,
     "op6_token_counts": op6_token_counts,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_secret_scan": op8_secret_scan,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_perspective_rotation": op10_perspective_rotation,
