@@ -392,3 +392,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+#: DuckDB SQL for the agreed columns of the registered query.
+ORACLE = r"""
+with recursive doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingle as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from doc where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingle group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach as (
+  select doc_id as a, doc_id as b from doc union select reach.a, links.b from reach join links on reach.b = links.a)
+select doc.doc_id, coalesce(max(sizes.n), 0) as n_shingles, min(reach.b) as component_id
+from doc left join sizes using (doc_id) join reach on reach.a = doc.doc_id group by doc.doc_id
+"""

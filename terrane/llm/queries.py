@@ -54,7 +54,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return neighbours.jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op2_decontamination": contamination.ORACLE,
+    "op3_substring_dedup": substrings.ORACLE,
+    "op7_jaccard_components": neighbours.ORACLE,
     "op4_url_reputation": urls.ORACLE,
     "op10_perspective_rotation": dialogues.ORACLE,
 }
