@@ -281,3 +281,18 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     joined = rows.join(runs.hint("shuffle_hash"), ["_id", "_key"], "left").select("doc_id", "_text", "_runs")
     kind = docs.schema[doc_id].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+
+
+#: DuckDB SQL for the registered query.
+ORACLE = r"""
+with doc as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+places as (
+  select doc_id, i, row_number() over (partition by array_to_string(w[i : i + 19], ' ') order by doc_id, i) as nth
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from doc where len(w) >= 20)),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 20)) as p from places where nth > 1)),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as body, count(*) as n
+  from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from doc) anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from doc left join kept using (doc_id)
+"""
