@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import _graph, _store
@@ -275,17 +275,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, rules: JaccardRules) -> DataFr
     return joined.select("a", "b", "_left", "_right").mapInArrow(test, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JaccardRules = JaccardRules()) -> DataFrame:
-    """doc_id, n_shingles, n_links (other sets that were found similar), component_id of every row.
-
-    Words are lower-cased (A-Z). A text of fewer words than a shingle has all of
-    them as its one shingle; without words (or null) it has none and links to
-    nothing. component_id is the least id of the rows whose sets are linked with
-    this one's through any number of links; rows with equal sets are linked, a
-    shared id alone links nothing. Null ids are passed over (null only where all
-    are). Components are exact; n_links counts the links that were tested, and
-    those suffice to connect, so in a large group it can be less than all.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> tuple[DataFrame, DataFrame]:
+    """doc_id, _key (hash of the text), n, node, label of every row (node and label null without words); and the links found."""
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_key"), F.col(text).alias("_text")
     )
@@ -385,8 +376,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         links = _store.stored(links, "links")
         labels = _graph.components(links)
 
+    return points.select("doc_id", "_key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), links
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """doc_id, n_shingles, n_links (other sets that were found similar), component_id of every row.
+
+    Words are lower-cased (A-Z). A text of fewer words than a shingle has all of
+    them as its one shingle; without words (or null) it has none and links to
+    nothing. component_id is the least id of the rows whose sets are linked with
+    this one's through any number of links; rows with equal sets are linked, a
+    shared id alone links nothing. Null ids are passed over (null only where all
+    are). Components are exact; n_links counts the links that were tested, and
+    those suffice to connect, so in a large group it can be less than all.
+    """
+    known, links = _labelled(docs, doc_id, text, rules)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = points.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return known.join(least, "label", "left").join(degree, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -394,6 +399,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """The input's rows and columns with one document of each component: that of the least id (null last), of repeated rows one; rows without words all stay."""
+    known, _ = _labelled(docs, doc_id, text, rules)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("at")
+    chosen = known.where("label is not null").groupBy("label").agg(first).select(F.col("at.doc_id").alias("_doc"), F.col("at._key").alias("_key"))
+    empty = known.where("label is null").select(F.col("doc_id").alias("_doc"), "_key", F.lit(True).alias("_all")).distinct()
+    chosen = chosen.withColumn("_all", F.lit(False)).union(empty).alias("c")
+    rows = docs.withColumn("_row_key", F.coalesce(F.xxhash64(text), F.lit(0))).alias("r")
+    met = rows.join(chosen, F.col(f"r.`{doc_id}`").eqNullSafe(F.col("c._doc")) & (F.col("r._row_key") == F.col("c._key")))
+    nth = F.row_number().over(Window.partitionBy(f"r.`{doc_id}`", "r._row_key").orderBy(F.lit(0)))
+    return met.withColumn("_nth", nth).where("_all or _nth = 1").select(*[F.col(f"r.`{c}`") for c in docs.columns])
+
+
 #: DuckDB SQL for the agreed columns of the registered query.
 ORACLE = r"""
 with recursive doc as (

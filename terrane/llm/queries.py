@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import _store, contamination, dialogues, neighbours, packing, quality, secrets, substrings, tokens, urls
+from terrane.llm import _store, contamination, dialogues, extraction, neighbours, packing, quality, secrets, substrings, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call begins with an empty cache, so that its figures hold the whole work."""
     cache = f"{_store.shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_url_reputation": op4_url_reputation,
+    "op5_main_text": op5_main_text,
     "op6_token_counts": op6_token_counts,
     "op7_jaccard_components": op7_jaccard_components,
     "op8_secret_scan": op8_secret_scan,
