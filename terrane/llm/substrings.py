@@ -39,7 +39,9 @@ class SubstringRules:
     #: Share of all minimisers from which a seed is hot; there are at most 2 / hot_share such seeds.
     hot_share: float = 2e-4
     #: Packed text (bytes) that a bucket takes on average.
-    bucket_bytes: int = 24 << 20
+    bucket_bytes: int = 8 << 20
+    #: Text (bytes) whose packed strings are compressed together by bucket.
+    slice_bytes: int = 8 << 20
 
 
 def _minimisers(found: words.Words, codes: np.ndarray, distinct: pa.Array, rules: SubstringRules, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +241,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             column = words.text_column(batch, "_text")
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_key"))
-            for low, high in words.slices(column):
+            for low, high in words.slices(column, rules.slice_bytes):
                 got = list(pack(ids[low:high], keys[low:high], column.slice(low, high - low), rules, sent.value, buckets))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _ in got], type=pa.int64()), pa.array([x for _, x in got], type=pa.binary())], names=["bucket", "blob"]
