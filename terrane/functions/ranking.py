@@ -32,13 +32,13 @@ def running_total(df: DataFrame, order: Sequence[Column], values: dict[str, Colu
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
     """Add the rank from 1, the mean of the places of equal values; NULL stays NULL."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_x")).agg(F.count("*").alias("_n"))
-    order = F.col("_x").desc() if descending else F.col("_x")
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_ranked")).agg(F.count("*").alias("_tied"))
+    order = F.col("_ranked").desc() if descending else F.col("_ranked")
     # a descending order ranks the negated value, as partitions are dealt out by one direction
-    key = -F.col("_x") if descending else order
-    placed = running_total(counts, [key], {"_upto": F.col("_n")})
-    placed = placed.select("_x", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(placed, F.col(value) == F.col("_x"), "left").drop("_x")
+    key = -F.col("_ranked") if descending else order
+    placed = running_total(counts, [key], {"_upto": F.col("_tied")})
+    placed = placed.select("_ranked", (F.col("_upto") - (F.col("_tied") - 1) / 2).alias(out))
+    return df.join(placed, F.col(value) == F.col("_ranked"), "left").drop("_ranked")
 
 
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
