@@ -161,7 +161,7 @@ def register_by_boundary(boundary: DataFrame, registered: DataFrame, aliases: Da
     aliases: (district_name, admin_key, boundary_key) for names that changed or
     merged. Doubled keys and boundaries without population raise ValueError.
     """
-    city = boundary.where(F.col("code").startswith(prefix)).withColumn("_key", dong_key("admin_name"))
+    city = boundary.where(F.col("code").startswith(prefix)).withColumn("_key", standard_name("admin_name"))
     named = registered.withColumn("_own", dong_key("admin_name")).join(
         F.broadcast(aliases.select(F.col("district_name").alias("_ad"), F.col("admin_key").alias("_ak"), "boundary_key")),
         (F.col("district_name") == F.col("_ad")) & (F.col("_own") == F.col("_ak")), "left",

@@ -108,7 +108,7 @@ def node_steepness(spark, sf_dir):
     return edge_ops.node_steepness(view(spark, sf_dir, "edges"))
 
 
-@register("a02_mean_by_hour", rounded(with_views(" select grid as grid_id, hr as hour, avg(coalesce(living, 0)) as mean_living_population from grid group by all", "grid"), "mean_living_population"))
+@register("a02_mean_by_hour", rounded(with_views(" select grid as grid_id, hr as hour, avg(coalesce(living, 0)) as mean_living_population from grid group by all", "grid"), "mean_living_population", digits=9), digits=9)
 def mean_by_hour(spark, sf_dir):
     return pop.mean_by_hour(view(spark, sf_dir, "grid"), "grid", "hr", "living")
 
@@ -120,7 +120,7 @@ select grid as grid_id, count(*) as observed_rows, avg(living) as mean_living_po
 GRID_DOUBLES = ("mean_living_population", "max_living_population", "mean_senior_population", "max_senior_population", "daytime_mean_population", "nighttime_mean_population", "commute_mean_population", "senior_share_mean")
 
 
-@register("a03_grid_summary", rounded(GRID_SQL, *GRID_DOUBLES))
+@register("a03_grid_summary", rounded(GRID_SQL, *GRID_DOUBLES, digits=9), digits=9)
 def grid_summary(spark, sf_dir):
     return pop.summarise_grid(view(spark, sf_dir, "grid"), "grid", "hr", "living", ["old"])
 

@@ -18,11 +18,11 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, digits) + 0.0 for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 
-def register(name: str, sql: str | None = None) -> Callable:
-    """Decorator: a query by name, with DuckDB SQL that gives the same rows."""
+def register(name: str, sql: str | None = None, digits: int = 6) -> Callable:
+    """Decorator: a query by name, with DuckDB SQL that gives the same rows; doubles are rounded."""
 
     def add(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: tidy(build(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: tidy(build(spark, sf_dir), digits)
         QUERIES[name].__doc__ = build.__doc__
         if sql is not None:
             ORACLE[name] = sql
@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from terrane.plans import queries_model, queries_space, queries_table  # noqa: E402, F401
+from terrane.plans import queries_model, queries_space, queries_stream, queries_table  # noqa: E402, F401
