@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from terrane.functions.cleaning import col, number
 
-#: Speeds in m/s by profile; weather time factors; factors of steps by policy (None: not passable).
-SPEEDS = {"base": 0.90, "average": 1.12, "slow": 0.70, "faster": 1.25}
-WEATHER = {"dry": 1.0, "rain": 1.06, "snow": 1.24}
-STEPS = {"allowed": 1.0, "penalty": 3.0, "barrier": None}
+#: Speeds in m/s by profile; weather intensities, each adding 3 percent; factors of steps by policy (None: not passable).
+SPEEDS = {"very_slow": 0.70, "slow": 0.80, "base": 0.90, "optimistic": 1.07}
+INTENSITIES = {"dry": 0.0, "rain": 2.0, "snow": 8.0}
+WEATHER = {profile: 1 + 0.03 * intensity for profile, intensity in INTENSITIES.items()}
+STEPS = {"steps_allowed": 1.0, "steps_penalty": 3.0, "steps_barrier": None}
 #: Upper grade (percent) and label of each band.
-GRADE_BANDS = ((2.0, "flat_0_2"), (5.0, "gentle_2_5"), (8.33, "ramp_5_8"), (12.0, "steep_8_12"))
-STEEPEST_BAND = "very_steep_12_plus"
+GRADE_BANDS = ((2.0, "near_flat"), (5.0, "mild"), (8.33, "ramp_like"), (12.0, "steep"))
+STEEPEST_BAND = "very_steep"
 
 
 def base_minutes(length: Column | str, speed: float = SPEEDS["base"]) -> Column:
@@ -48,7 +49,7 @@ def steps_factor(highway: Column | str, policy: str) -> Column:
     return F.when(is_steps(highway), F.lit(STEPS[policy]).cast("double")).otherwise(F.lit(1.0))
 
 
-def edge_minutes(length: Column | str, signed_grade: Column | str, highway: Column | str, weather: str = "dry", policy: str = "allowed", speed: float = SPEEDS["base"], absolute_grade: Column | str | None = None) -> Column:
+def edge_minutes(length: Column | str, signed_grade: Column | str, highway: Column | str, weather: str = "dry", policy: str = "steps_allowed", speed: float = SPEEDS["base"], absolute_grade: Column | str | None = None) -> Column:
     """Minutes over an edge; NULL where steps are a barrier."""
     return base_minutes(length, speed) * slope_factor(signed_grade, absolute_grade) * weather_factor(weather) * steps_factor(highway, policy)
 

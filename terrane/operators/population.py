@@ -11,7 +11,7 @@ from terrane.functions.cleaning import code, counted, dong_key, first_existing,
 
 #: Columns of the grid population files.
 GRID_COLUMNS = {"hour": "시간", "grid": "250M격자", "living": "생활인구합계"}
-SENIOR_COLUMNS = ("남자65세부터69세생활인구수", "남자70세이상생활인구수", "여자65세부터69세생활인구수", "여자70세이상생활인구수")
+SENIOR_COLUMNS = ("남자 65~69세", "남자 70세 이상", "여자 65~69세", "여자 70세 이상")
 
 
 def mean_by_hour(rows: DataFrame, grid: str, hour: str, living: str) -> DataFrame:
@@ -139,20 +139,38 @@ def mobility_demand(spread: DataFrame) -> DataFrame:
     return out.withColumn("mobility_index", (F.col("mobility_total_norm") + F.col("mobility_peak_norm")) / 2)
 
 
-def registered_rows(sheet: DataFrame, order: str = "row_idx", first: str = "district", second: str = "dong", population: str = "population", senior: str = "senior") -> DataFrame:
-    """Dong rows of a population sheet with the district of the subtotal row above them.
+#: Districts by the first five digits of a boundary code; rows of the whole city; names that merged into one boundary.
+DISTRICTS = {
+    "11010": "종로구", "11020": "중구", "11030": "용산구", "11040": "성동구", "11050": "광진구", "11060": "동대문구", "11070": "중랑구", "11080": "성북구", "11090": "강북구",
+    "11100": "도봉구", "11110": "노원구", "11120": "은평구", "11130": "서대문구", "11140": "마포구", "11150": "양천구", "11160": "강서구", "11170": "구로구", "11180": "금천구",
+    "11190": "영등포구", "11200": "동작구", "11210": "관악구", "11220": "서초구", "11230": "강남구", "11240": "송파구", "11250": "강동구",
+}
+CITY_NAMES = ("서울시", "서울특별시")
+REGISTERED_ALIASES = [("동대문구", "용두동", "용신동"), ("동대문구", "신설동", "용신동")]
+ALIAS_COLUMNS = "district_name string, admin_key string, boundary_key string"
+
+
+def district_of(admin_code: Column | str) -> Column:
+    """District name by the first five digits of a code; NULL where unknown."""
+    head = F.substring(F.col(admin_code) if isinstance(admin_code, str) else admin_code, 1, 5)
+    return F.create_map(*(F.lit(x) for pair in DISTRICTS.items() for x in pair))[head]
+
 
-    Rows whose second cell is a subtotal mark open a district; the city's total
-    closes it. A sheet has some hundred rows, so one window orders it.
+def registered_rows(sheet: DataFrame, order: str = "row_idx", name: str = "name", population: str = "population", senior: str = "senior") -> DataFrame:
+    """Dong rows of a population sheet with the district named above them.
+
+    A row that bears a district's name opens it, the city's total closes it;
+    rows without a name or any figure don't count. A sheet has some hundred
+    rows, so one window orders it.
     """
-    a, b = standard_name(first), standard_name(second)
-    subtotal = b.isin("소계", "계") & ~a.isin("합계", "서울특별시", "총계")
-    total = a.isin("합계", "서울특별시", "총계") & b.isin("소계", "계", "합계")
-    mark = F.when(total, F.lit("")).when(subtotal | (F.coalesce(a, F.lit("")) != ""), a)
-    above = F.last(mark, ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    out = sheet.withColumn("_district", F.nullif(above, F.lit(""))).where(~F.coalesce(subtotal | total, F.lit(False)) & F.col("_district").isNotNull() & (F.coalesce(b, F.lit("")) != ""))
-    out = out.select(b.alias("admin_name"), F.col("_district").alias("district_name"), counted(population).alias("registered_population"), counted(senior).alias("registered_senior_population"))
-    return out.where("registered_population is not null").withColumn("registered_senior_share", ratio("registered_senior_population", "registered_population"))
+    label = F.trim(F.col(name))
+    typed = sheet.select(F.col(order).alias("_at"), label.alias("admin_name"), counted(population).alias("registered_population"), counted(senior).alias("registered_senior_population"))
+    typed = typed.where((F.coalesce("admin_name", F.lit("")) != "") & (F.col("registered_population").isNotNull() | F.col("registered_senior_population").isNotNull()))
+    city, district = F.col("admin_name").isin(*CITY_NAMES), F.col("admin_name").isin(*DISTRICTS.values())
+    above = F.last(F.when(city, F.lit("")).when(district, F.col("admin_name")), ignorenulls=True).over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    out = typed.withColumn("district_name", F.nullif(above, F.lit(""))).where(~city & ~district)
+    out = out.select("admin_name", "district_name", "registered_population", "registered_senior_population")
+    return out.withColumn("registered_senior_share", ratio("registered_senior_population", "registered_population"))
 
 
 def register_by_boundary(boundary: DataFrame, registered: DataFrame, aliases: DataFrame, prefix: str = "11") -> DataFrame:
@@ -200,30 +218,38 @@ def stop_candidates(rides: DataFrame, mode: str, stop_id: str, stop_name: str, p
     )
 
 
-#: Names that records of one kind go by.
-STOP_ALIASES = {"id": ("표준버스정류장ID", "station_id", "stop_id"), "name": ("역명", "지하철역", "stop_name", "name"), "line": ("호선명", "line")}
-POI_ALIASES = {"name": ("name", "시설명", "상호명", "명칭"), "lon": ("lon", "경도", "x"), "lat": ("lat", "위도", "y"), "address": ("address", "주소", "도로명주소")}
+#: Names that columns of one kind go by.
+BUS = {"stop_id": ("standard_bus_stop_id", "표준버스정류장ID"), "stop_name": ("bus_stop_name", "역명"), "month": ("사용년월",)}
+SUBWAY = {"stop_id": ("지하철역",), "stop_name": ("지하철역",), "month": ("사용월",)}
+POI = {
+    "poi_id": ("기관ID", "상가업소번호", "연번"), "name": ("기관명", "상호명", "기관명칭"), "category": ("병원분류명", "상권업종대분류명", "시설종류"),
+}
 
 
 def normalised_stops(rows: DataFrame, mode: str) -> DataFrame:
-    names = STOP_ALIASES
-    return rows.select(F.lit(mode).alias("mode"), *(first_filled(rows.columns, names[k]).alias(f"stop_{k}") for k in names), number(first_existing(rows.columns, ["lon"])).alias("lon"), number(first_existing(rows.columns, ["lat"])).alias("lat"))
+    """Bus or subway rows under common names; columns that are missing are NULL."""
+    has = rows.columns
+    names = BUS if mode == "bus" else SUBWAY
+    return rows.select(
+        F.lit(mode).alias("mode"), *(first_filled(has, v).alias(k) for k, v in names.items()), *(first_existing(has, [c]).alias(c) for c in ("hour", "ride_type")),
+        *(number(first_existing(has, [c])).alias(c) for c in ("passengers", "lon", "lat")), *(c for c in ("coord_valid", "location_matched") if c in has),
+    )
 
 
 def normalised_pois(rows: DataFrame, kind: str) -> DataFrame:
-    names = POI_ALIASES
-    text = {k: first_filled(rows.columns, v) for k, v in names.items()}
-    return rows.select(F.lit(kind).alias("poi_type"), text["name"].alias("name"), number(text["lon"]).alias("lon"), number(text["lat"]).alias("lat"), text["address"].alias("address"))
+    """POI rows of any source under common names."""
+    has = rows.columns
+    return rows.select(F.lit(kind).alias("poi_type"), *(first_filled(has, v).alias(k) for k, v in POI.items()), *(number(first_existing(has, [c])).alias(c) for c in ("lon", "lat")))
 
 
 #: Columns of hourly weather files.
-ASOS = {"지점": "station_id", "지점명": "station_name", "일시": "observed_at", "기온(°C)": "temperature_c", "강수량(mm)": "rain_mm", "풍속(m/s)": "wind_ms", "습도(%)": "humidity_pct", "적설(cm)": "snow_cm"}
+ASOS = {"지점": "station_id", "지점명": "station_name", "일시": "observed_at", "기온(°C)": "temp_c", "강수량(mm)": "rain_mm", "풍속(m/s)": "wind_ms", "습도(%)": "humidity_pct", "적설(cm)": "snow_cm"}
 
 
 def normalised_weather(rows: DataFrame, names: dict[str, str] = ASOS) -> DataFrame:
     """Renamed columns; measures that are missing count as 0 (temperature too); observed_at as a time or NULL."""
     out = rows.withColumnsRenamed(names)
-    measures = [c for c in ("temperature_c", "rain_mm", "wind_ms", "humidity_pct", "snow_cm") if c in out.columns]
+    measures = [c for c in ("temp_c", "rain_mm", "wind_ms", "humidity_pct", "snow_cm") if c in out.columns]
     out = out.withColumns({c: F.coalesce(number(c), F.lit(0.0)) for c in measures})
     return out.withColumn("observed_at", F.try_to_timestamp(F.col("observed_at").cast("string")).cast("timestamp_ntz")) if "observed_at" in out.columns else out
 

@@ -88,7 +88,7 @@ def quadrants(cells: DataFrame, x: str, y: str, flag: str, key: str = "hex_id",
     return out.select(F.col("_x").alias("x_bucket"), F.col("_y").alias("y_bucket"), "cells", "flagged", ratio("flagged", "cells").alias("flagged_share"))
 
 
-def environment_burden(cells: DataFrame, demand: str, m0: str = "access_cost_m0", m3: str = "access_cost_m3", q: float = 0.8, official_m: float = 400.0) -> DataFrame:
+def environment_burden(cells: DataFrame, demand: str, m0: str = "access_cost_m0", m3: str = "access_cost_m3", q: float = 0.8, official_m: float = 400.0, hidden_flag: str = "hidden_vulnerable_final") -> DataFrame:
     """Cells under m0 and m3 on limits frozen on m0: increase, ranks and their shift, crossings, and a label."""
     frozen = FrozenBaseline.fit(cells, m0, demand, q)
     a, b = F.col(m0), F.col(m3)
@@ -99,11 +99,12 @@ def environment_burden(cells: DataFrame, demand: str, m0: str = "access_cost_m0"
     out = average_rank(average_rank(out, "score_m0", "rank_m0", descending=True), "score_m3", "rank_m3", descending=True)
     crossed = F.coalesce((a <= official_m) & (b > official_m), F.lit(False))
     new = F.col("vulnerable_m3") & ~F.col("vulnerable_m0")
-    label = F.when(new & crossed, "new_vulnerable_and_crossed").when(new, "new_vulnerable").when(crossed, "crossed_official").when(F.col("vulnerable_m3"), "stays_vulnerable").otherwise("no_change")
+    hidden = F.coalesce(F.col(hidden_flag), F.lit(False)) if hidden_flag in cells.columns else F.lit(False)
+    label = F.when(new, "threshold_crossing_under_environment_cost").when(crossed, "distance_standard_crossing").when(hidden, "hidden_vulnerable_under_m3_threshold").otherwise("no_crossing")
     return out.withColumns({"rank_shift": F.col("rank_m0") - F.col("rank_m3"), "crossed_400m": crossed, "new_vulnerable": new, "burden_label": label})
 
 
-def senior_variants(edges: DataFrame, destinations: DataFrame, cells: DataFrame, exposure: str, node: str = "origin_node_id", reference: tuple[str, str] = ("rain", "penalty"), q: float = 0.8, official_m: float = 400.0) -> DataFrame:
+def senior_variants(edges: DataFrame, destinations: DataFrame, cells: DataFrame, exposure: str, node: str = "origin_node_id", reference: tuple[str, str] = ("rain", "steps_penalty"), q: float = 0.8, official_m: float = 400.0) -> DataFrame:
     """Long table of cells x weather x steps policy: minutes, score and flags on limits frozen on the reference; unreachable counts as vulnerable.
 
     Weather multiplies every edge alike, so only the three policies are routed,
@@ -131,7 +132,7 @@ def senior_variants(edges: DataFrame, destinations: DataFrame, cells: DataFrame,
 def steps_dependence(long: DataFrame, weather: str = "rain") -> DataFrame:
     """Cells: whether the way uses steps (barred or longer without them), and whether there is no other."""
     side = lambda p: F.max(F.when(F.col("step_policy") == p, F.col("minutes")))
-    out = long.where(F.col("weather_profile") == weather).groupBy("hex_id").agg(side("allowed").alias("allowed"), side("barrier").alias("barrier"))
+    out = long.where(F.col("weather_profile") == weather).groupBy("hex_id").agg(side("steps_allowed").alias("allowed"), side("steps_barrier").alias("barrier"))
     none = F.col("barrier").isNull() & F.col("allowed").isNotNull()
     return out.withColumns({"no_alternative": none, "uses_steps": none | F.coalesce(F.col("barrier") - F.col("allowed") > 1e-9, F.lit(False))})
 
@@ -171,12 +172,12 @@ def greatest_name(values: dict[str, Column]) -> Column:
     return out
 
 
-def burden_class(percent: Column | str, limits: Sequence[float] = (10, 25, 50, 75, 100), missing: str = "자료 없음") -> Column:
-    """Class of a rise in percent by upper limits (excluded)."""
-    c = F.col(percent) if isinstance(percent, str) else percent
-    label = F.lit(f"{limits[-1]:g}+")
+def burden_class(metres: Column | str, limits: Sequence[float] = (10, 25, 50, 75, 100), missing: str = "자료 없음") -> Column:
+    """Class of a rise in cost by upper limits (excluded)."""
+    c = F.col(metres) if isinstance(metres, str) else metres
+    label = F.lit(f"{limits[-1]:g}m 이상")
     for low, high in reversed(list(zip([0, *limits], limits, strict=False))):
-        label = F.when(c < high, F.lit(f"{low:g}-{high:g}")).otherwise(label)
+        label = F.when(c < high, F.lit(f"{low:g}-{high:g}m")).otherwise(label)
     return F.when(c.isNull(), F.lit(missing)).otherwise(label)
 
 
@@ -188,6 +189,60 @@ def policy_label(tests: dict[str, Column], default: str = "none") -> Column:
     return label
 
 
+#: Labels of the main reasons and of the policies, the first that holds.
+REASON_LABELS = {
+    "slope_weather_penalty": "경사·기상 부담형", "high_demand": "수요집중형", "high_demand_plus_slope_weather_penalty": "복합형", "mixed": "혼합형",
+    "near_400m_distance": "400m 경계형", "high_demand_plus_near_400m_distance": "수요+경계형",
+}
+POLICIES = {
+    "step_no_alt": "계단·눈 대체경로 없음", "s4_weather_sensitive": "S4 기상 민감 후보", "s1_resolved_hidden": "S1 정류장·접근로 검토", "uses_steps": "계단 사용 경로",
+}
+
+
+def reason_label(reason: Column | str) -> Column:
+    """Label of a reason; unknown ones as they are."""
+    c = F.col(reason) if isinstance(reason, str) else reason
+    label = c
+    for code, name in REASON_LABELS.items():
+        label = F.when(c == code, F.lit(name)).otherwise(label)
+    return label
+
+
+def policy_candidates(cells: DataFrame) -> DataFrame:
+    """Cells that any policy flag marks, with the label of the first."""
+    flags = {name: F.coalesce(F.col(flag), F.lit(False)) for flag, name in POLICIES.items()}
+    any_flag = F.lit(False)
+    for flag in flags.values():
+        any_flag = any_flag | flag
+    return cells.where(any_flag).withColumn("policy_review_type", policy_label(flags, "기타"))
+
+
+#: Weights of the percent ranks in the weather response.
+RESPONSE_WEIGHTS = {
+    "weather_effect": 0.34, "total_env_increment_m3_m0": 0.18, "vulnerability_m3_final": 0.16, "demand_index_final": 0.12, "access_cost_m3": 0.10, "registered_senior_population": 0.10,
+}
+
+
+def weather_candidates(cells: DataFrame, top: int | None = None) -> DataFrame:
+    """Diagnosed cells with weather pressures, the score, low-cost actions and the leading kind, the highest score first."""
+    slope, weather, both = F.col("slope_increment_m1_m0"), F.col("weather_additive_increment_m2_m1"), F.col("interaction_increment_m3_m2")
+    pressures = {"snow_ice_pressure": slope + both, "anti_slip_pressure": 0.7 * slope + 1.3 * both, "drainage_pressure": 0.85 * weather + 0.35 * both}
+    out = cells.withColumns({"weather_effect": weather + both, **pressures})
+    for name in (*pressures, "weather_effect"):
+        out = percent_rank(out, name, f"{name}_pct")
+    snow, slip, water, effect = (F.col(f"{n}_pct") for n in ("snow_ice_pressure", "anti_slip_pressure", "drainage_pressure", "weather_effect"))
+    tests = {
+        "제설 우선순위": (snow >= 0.75) | ((F.col("slope_increment_share") >= 0.65) & (effect >= 0.6)),
+        "배수/침수 점검": (water >= 0.75) | ((F.col("weather_additive_increment_share") >= 0.22) & (effect >= 0.7)),
+        "미끄럼 방지 포장": (slip >= 0.75) | (F.col("interaction_increment_share") >= 0.06),
+    }
+    out = weather_response(out, RESPONSE_WEIGHTS).withColumnRenamed("response_score", "scenario3_score")
+    out = out.withColumn("recommended_actions", actions(tests, "현장 점검"))
+    out = out.withColumn("primary_low_cost_type", greatest_name({"제설 우선구간": snow, "배수 불량/침수 가능": water, "미끄럼 방지 포장": slip}))
+    out = out.orderBy(F.desc("scenario3_score"), F.desc("vulnerability_m3_final"), "hex_id")
+    return out if top is None else out.limit(top)
+
+
 def leading_by_group(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Groups with rows, and the most frequent value (of equals the least)."""
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -67,8 +67,8 @@ def build_analysis_hexes(mask: DataFrame, edge_m: float = 200.786) -> DataFrame:
 
 def build_transit_candidates(bus: DataFrame, subway: DataFrame, boundary: DataFrame, buffer_m: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Bus and subway stops with projected places, inside the boundary and outside."""
-    stops = pop.stop_candidates(bus, "bus", "표준버스정류장ID", "역명", flags=("coord_valid", "location_matched"))
-    stops = stops.unionByName(pop.stop_candidates(subway, "subway", "지하철역", "지하철역"))
+    stops = pop.stop_candidates(pop.normalised_stops(bus, "bus"), "bus", "stop_id", "stop_name", flags=("coord_valid", "location_matched"))
+    stops = stops.unionByName(pop.stop_candidates(pop.normalised_stops(subway, "subway"), "subway", "stop_id", "stop_name"))
     x, y = g.project("lon", "lat")
     return spatial.split_by_boundary(stops.withColumn("x", x).withColumn("y", y), boundary, buffer_m)
 

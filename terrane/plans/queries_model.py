@@ -6,13 +6,12 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from terrane.functions import senior
 from terrane.functions.store import cut
 from terrane.operators import edges as edge_ops
 from terrane.operators import reports, routing, scenario, sensitivity
 from terrane.operators import vulnerability as vul
 from terrane.plans.analog import rounded, view, with_views
-from terrane.plans.queries_table import AVERAGE_RANK, COSTS, USABLE, VARIANT_SQL, VARIANTS, costed, variants
+from terrane.plans.queries_table import AVERAGE_RANK, COSTS, USABLE, VARIANT_SQL, costed, variants
 from terrane.plans.registry import register
 
 
@@ -262,16 +261,16 @@ def senior_long(spark, sf_dir):
 
 @register("r17_senior_variants", rounded(model_sql(SENIOR_PATHS + """,
 long as (
-  select hex_id, demand, w, p, case p when 'allowed' then allowed when 'penalty' then penalty else barrier end * f as minutes
-  from policies, (values ('dry', 1.0::double), ('rain', 1.06::double), ('snow', 1.24::double)) x(w, f), (values ('allowed'), ('penalty'), ('barrier')) y(p)),
-base as (select * from long where w = 'rain' and p = 'penalty' and minutes is not null),
+  select hex_id, demand, w, p, case p when 'steps_allowed' then allowed when 'steps_penalty' then penalty else barrier end * f as minutes
+  from policies, (values ('dry', 1.0::double), ('rain', 1.06::double), ('snow', 1.24::double)) x(w, f), (values ('steps_allowed'), ('steps_penalty'), ('steps_barrier')) y(p)),
+base as (select * from long where w = 'rain' and p = 'steps_penalty' and minutes is not null),
 lim as (select min(minutes) as c0, max(minutes) as c1, min(demand) as d0, max(demand) as d1 from base),
 cut as (select quantile_cont((minutes - c0) / (c1 - c0) * (demand - d0) / (d1 - d0), 0.8) as t from base, lim)
 select w as weather_profile, p as step_policy, count(minutes) as reached, avg(minutes) as mean_minutes, avg(minutes * 0.90 / 0.70) as mean_slow,
   count(*) filter (minutes is null or (minutes - c0) / (c1 - c0) * (demand - d0) / (d1 - d0) >= t) as vulnerable from long, lim, cut group by all"""), "mean_minutes", "mean_slow"))
 def senior_variants(spark, sf_dir):
     return senior_long(spark, sf_dir).groupBy("weather_profile", "step_policy").agg(
-        F.count("minutes").alias("reached"), F.avg("minutes").alias("mean_minutes"), F.avg("minutes_slow").alias("mean_slow"), F.count_if("vulnerable").alias("vulnerable")
+        F.count("minutes").alias("reached"), F.avg("minutes").alias("mean_minutes"), F.avg("minutes_very_slow").alias("mean_slow"), F.count_if("vulnerable").alias("vulnerable")
     )
 
 
@@ -348,6 +347,13 @@ def weather_response(spark, sf_dir):
     return sensitivity.weather_response(c, {"c_acctbal": 0.6, "c_nationkey": 0.4}).select("c_custkey", "response_score")
 
 
+@register("r25_weather_candidates")
+def weather_candidates(spark, sf_dir):
+    """Hidden cells by their weather response, with low-cost actions: the twenty highest."""
+    found = vul.diagnose(scored(spark, sf_dir).withColumn("registered_senior_population", F.col("senior")), official_m=OFFICIAL)
+    return sensitivity.weather_candidates(found, 20).select("hex_id", "scenario3_score", "primary_low_cost_type", "recommended_actions", sensitivity.reason_label("primary_reason").alias("reason"))
+
+
 @register("r16_registry", "select 'S' || n_nationkey as scenario_id, n_nationkey % 2 = 0 and n_nationkey % 3 > 0 and n_nationkey % 5 > 0 as claim_allowed from nation")
 def scenario_registry(spark, sf_dir):
     k = F.col("n_nationkey")
@@ -368,6 +374,3 @@ def relabel(spark, sf_dir):
 def table_hash(spark, sf_dir):
     """A hash of the supplier table that no order of rows changes."""
     return reports.table_hash(spark.read.parquet(f"{sf_dir}/supplier.parquet"))
-
-
-assert set(senior.STEPS) == {"allowed", "penalty", "barrier"} and VARIANTS[0][0] == "base"

@@ -76,14 +76,14 @@ def friction(spark, sf_dir):
 select osmid, key, base * slope as allowed, base * slope * case when steps then 3 else 1 end as penalty, case when not steps then base * slope end as barrier,
   base * slope * 1.06 * 0.90 / 0.70 as slow_in_rain, band, steps
 from (select osmid, key, length_m / 54 as base, greatest(1, exp(3.5 * (abs(least(greatest(grade_percent, -30), 30) / 100 + 0.05) - 0.05))) as slope, coalesce(highway = 'steps', false) as steps,
-  case when grade_abs_percent <= 2 then 'flat_0_2' when grade_abs_percent <= 5 then 'gentle_2_5' when grade_abs_percent <= 8.33 then 'ramp_5_8' when grade_abs_percent <= 12 then 'steep_8_12' when grade_abs_percent > 12 then 'very_steep_12_plus' end as band
+  case when grade_abs_percent <= 2 then 'near_flat' when grade_abs_percent <= 5 then 'mild' when grade_abs_percent <= 8.33 then 'ramp_like' when grade_abs_percent <= 12 then 'steep' when grade_abs_percent > 12 then 'very_steep' end as band
   from edges where grade_percent is not null)""", "edges"), "allowed", "penalty", "barrier", "slow_in_rain"),
 )
 def senior_minutes(spark, sf_dir):
     e = edge_ops.senior_minutes(view(spark, sf_dir, "edges").where("grade_percent is not null"))
     return e.select(
-        "osmid", "key", F.col("minutes_allowed").alias("allowed"), F.col("minutes_penalty").alias("penalty"), F.col("minutes_barrier").alias("barrier"),
-        senior.rescaled(F.col("minutes_allowed") * senior.weather_factor("rain"), "slow").alias("slow_in_rain"),
+        "osmid", "key", F.col("minutes_steps_allowed").alias("allowed"), F.col("minutes_steps_penalty").alias("penalty"), F.col("minutes_steps_barrier").alias("barrier"),
+        senior.rescaled(F.col("minutes_steps_allowed") * senior.weather_factor("rain"), "very_slow").alias("slow_in_rain"),
         senior.grade_band("grade_abs_percent").alias("band"), senior.is_steps("highway").alias("steps"),
     )
 
@@ -362,7 +362,7 @@ def unmatched_keys(spark, sf_dir):
 
 
 @register("r26_r27_labels", """
-select o_orderkey, case when o_orderkey % 9 = 0 then '자료 없음' when p < 10 then '0-10' when p < 25 then '10-25' when p < 50 then '25-50' when p < 75 then '50-75' when p < 100 then '75-100' else '100+' end as burden,
+select o_orderkey, case when o_orderkey % 9 = 0 then '자료 없음' when p < 10 then '0-10m' when p < 25 then '10-25m' when p < 50 then '25-50m' when p < 75 then '50-75m' when p < 100 then '75-100m' else '100m 이상' end as burden,
   case when p < 20 then 'low' when o_orderstatus = 'O' then 'open' else 'none' end as policy, case when p < 20 and o_orderstatus = 'O' then 'low, open' when p < 20 then 'low' when o_orderstatus = 'O' then 'open' else '현장 점검' end as actions
 from (select *, o_orderkey % 130 as p from orders)""")
 def labels(spark, sf_dir):

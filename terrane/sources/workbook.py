@@ -119,22 +119,21 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row_idx int, col_idx int, value string")
 
 
+#: Headings of the columns, without blanks.
+NAME_HEADS, POPULATION_HEADS, SUB_HEADS = ("구분", "지역", "행정동"), ("총인구", "총계", "전체"), ("계", "소계", "총계")
+
+
 def population_sheet(found: DataFrame) -> DataFrame:
-    """Cells to (row_idx, district, dong, population, senior): columns are found by their headings in the first 40 rows."""
-    text = F.regexp_replace("value", r"\s+", "")
-    heads = found.where("row_idx <= 40").select("row_idx", "col_idx", text.alias("h"))
-    role = (
-        F.when(F.col("h").isin("자치구", "구", "시군구"), "district").when(F.col("h").isin("동", "행정동", "동별"), "dong")
-        .when(F.col("h").startswith("65세이상"), "senior").when(F.col("h").isin("합계", "계", "인구", "총인구") | F.col("h").startswith("인구"), "population")
-    )
-    named = heads.withColumn("role", role).where("role is not null")
-    # a heading row names the district; a sub-heading may follow it
-    top = named.where("role = 'district'").agg(F.min("row_idx").alias("top"))
-    near = named.join(F.broadcast(top), F.col("row_idx").between(F.col("top"), F.col("top") + 1))
-    places = {r["role"]: (r["c"], r["last"]) for r in near.groupBy("role").agg(F.min("col_idx").alias("c"), F.max("row_idx").alias("last")).collect()}
-    missing = {"district", "dong", "population", "senior"} - set(places)
-    if missing:
-        raise ValueError(f"no heading for {sorted(missing)}")
-    last = max(x for _, x in places.values())
-    value = lambda r: F.max(F.when(F.col("col_idx") == places[r][0], F.col("value"))).alias(r)
-    return found.where(F.col("row_idx") > last).groupBy("row_idx").agg(*(value(r) for r in ("district", "dong", "population", "senior")))
+    """Cells to (row_idx, name, population, senior): columns are found by their headings in one of the first 40 rows; ValueError where there is none."""
+    head = F.regexp_replace("value", r"\s+", "")
+    role = F.when(head.isin(*NAME_HEADS), "name").when(head.isin(*POPULATION_HEADS), "population").when(head.startswith("65세이상") & head.contains("총인구"), "senior")
+    named = found.where("row_idx <= 40").select("row_idx", "col_idx", head.alias("head"), role.alias("role"))
+    places = named.where("role is not null").groupBy("row_idx", "role").agg(F.min("col_idx").alias("c"))
+    top = places.groupBy("row_idx").agg(F.count("*").alias("n")).where("n = 3").agg(F.min("row_idx")).first()[0]
+    if top is None:
+        raise ValueError("no row has headings for name, population and senior population")
+    at = {r["role"]: r["c"] for r in places.where(F.col("row_idx") == top).collect()}  # three rows
+    sub = named.where((F.col("row_idx") == top + 1) & F.col("col_idx").isin(at["population"], at["senior"]) & F.col("head").isin(*SUB_HEADS))
+    last = top if sub.isEmpty() else top + 1
+    value = lambda r: F.max(F.when(F.col("col_idx") == at[r], F.col("value"))).alias(r)
+    return found.where(F.col("row_idx") > last).groupBy("row_idx").agg(*(value(r) for r in ("name", "population", "senior")))

@@ -37,14 +37,14 @@ def test_senior(spark):
     for grade, want in ((0, 1.0), (5, math.exp(0.175)), (-5, 1.0), (90, math.exp(3.5 * 0.3))):
         assert values(spark, senior.slope_factor(F.lit(float(grade))))[0] == pytest.approx(want)
     steps = spark.createDataFrame([("['steps', 'path']",), ("footway",), (None,)], "h string")
-    for policy, want in (("allowed", [1, 1, 1]), ("penalty", [3, 1, 1]), ("barrier", [None, 1, 1])):
+    for policy, want in (("steps_allowed", [1, 1, 1]), ("steps_penalty", [3, 1, 1]), ("steps_barrier", [None, 1, 1])):
         assert [r[0] for r in steps.select(senior.steps_factor("h", policy)).collect()] == want
-    assert values(spark, senior.rescaled(F.lit(7.0), "slow"))[0] == pytest.approx(9.0)
+    assert values(spark, senior.rescaled(F.lit(7.0), "very_slow"))[0] == pytest.approx(9.0)
     for wrong in (lambda: senior.weather_factor("hail"), lambda: senior.steps_factor("h", "no"), lambda: senior.base_minutes("h", 0)):
         with pytest.raises(ValueError, match="."):
             wrong()
     bands = spark.createDataFrame([(2.0,), (-5.0,), (8.33,), (12.0,), (13.0,), (None,)], "g double")
-    assert [r[0] for r in bands.select(senior.grade_band("g")).collect()] == ["flat_0_2", "gentle_2_5", "ramp_5_8", "steep_8_12", "very_steep_12_plus", None]
+    assert [r[0] for r in bands.select(senior.grade_band("g")).collect()] == ["near_flat", "mild", "ramp_like", "steep", "very_steep", None]
 
 
 def test_cleaning(spark):

@@ -115,11 +115,11 @@ def test_mobility(spark):
 
 
 def test_registered(spark):
-    sheet = [(1, "합계", "소계", "2400", "260"), (2, "종로구", "소계", "2100", "220"), (3, None, "사직동", "100", "25"), (4, "", "삼청동", "2,000", "400"), (5, "중구", "소계", "300", "30"), (6, None, "명동", "300", "30"), (7, None, "-", "-", "-")]
-    got = population.registered_rows(spark.createDataFrame(sheet, "row_idx int, district string, dong string, population string, senior string"))
+    sheet = [(1, "서울시", "2400", "260"), (2, "종로구", "2100", "220"), (3, " 사직동", "100", "25"), (4, "삼청동", "2,000", "400"), (5, "중구", "300", "30"), (6, "명동", "300", "30"), (7, "빈동", "-", "-"), (8, None, "5", "1")]
+    got = population.registered_rows(spark.createDataFrame(sheet, "row_idx int, name string, population string, senior string"))
     assert rows(got, "admin_name") == [("명동", "중구", 300, 30, 0.1), ("사직동", "종로구", 100, 25, 0.25), ("삼청동", "종로구", 2000, 400, 0.2)]
     registered = spark.createDataFrame([("용신동", "동대문구", 10, 1), ("용두동", "동대문구", 20, 2), ("신설동", "동대문구", 30, 3), ("홍제제1동", "서대문구", 40, 4)], "admin_name string, district_name string, registered_population long, registered_senior_population long")
-    aliases = spark.createDataFrame([("동대문구", "용두동", "용신동"), ("동대문구", "신설동", "용신동")], "district_name string, admin_key string, boundary_key string")
+    aliases = spark.createDataFrame(population.REGISTERED_ALIASES, population.ALIAS_COLUMNS)
     boundary = spark.createDataFrame([("11230", "용신동", "동대문구"), ("11410", "홍제1동", "서대문구"), ("41000", "다른동", "다른구")], "code string, admin_name string, district_name string")
     got = {r.code: r for r in population.register_by_boundary(boundary, registered, aliases).collect()}
     assert {k: r.registered_population for k, r in got.items()} == {"11230": 60, "11410": 40} and got["11230"].registered_source_names == "신설동,용두동,용신동"
@@ -169,9 +169,11 @@ def test_stops_and_weather(spark):
     rides = spark.createDataFrame([("s", "a", "10", 126.98, 37.56, "True"), ("s", "a", "20", 126.98, 37.56, "1"), ("s", "a", "5", 126.98, 37.56, "False"), ("t", "b", "5", 120.0, 37.56, "True")], "id string, name string, passengers string, lon double, lat double, location_matched string")
     assert rows(population.stop_candidates(rides, "subway", "id", "name").select("stop_id", "passengers_sum", "source_rows"), "stop_id") == [("s", 30.0, 2)]
     raw = spark.createDataFrame([("2025-01-01 01:00", None, "x"), ("bad", "2", "1.5")], "`일시` string, `강수량(mm)` string, `기온(°C)` string")
-    assert [(r.rain_mm, r.temperature_c, r.observed_at is None) for r in population.normalised_weather(raw).collect()] == [(0.0, 0.0, False), (2.0, 1.5, True)]
-    poi = population.normalised_pois(spark.createDataFrame([("", "병원", "127.0", "x")], "name string, `시설명` string, lon string, lat string"), "hospital").first()
-    assert (poi.name, poi.lon, poi.lat) == ("병원", 127.0, None)
+    assert [(r.rain_mm, r.temp_c, r.observed_at is None) for r in population.normalised_weather(raw).collect()] == [(0.0, 0.0, False), (2.0, 1.5, True)]
+    poi = population.normalised_pois(spark.createDataFrame([("", "병원", "127.0", "x", "7")], "`기관명` string, `상호명` string, lon string, lat string, `연번` string"), "hospital").first()
+    assert (poi.poi_id, poi.name, poi.category, poi.lon, poi.lat) == ("7", "병원", None, 127.0, None)
+    bus = population.normalised_stops(spark.createDataFrame([("100", "종로", "5")], "`표준버스정류장ID` string, `역명` string, passengers string"), "bus").first()
+    assert (bus.stop_id, bus.stop_name, bus.passengers, bus.lon) == ("100", "종로", 5.0, None)
 
 
 def test_quality_reports(spark):
@@ -188,7 +190,7 @@ def test_senior_and_robustness(spark):
     cells = spark.createDataFrame([("a", 1, 1.0, 1.0), ("b", 3, 2.0, 1.0), ("c", 4, 3.0, 1.0)], "hex_id string, origin_node_id long, senior double, access_cost_m0 double")
     long = sensitivity.senior_variants(edges.senior_minutes(e), spark.createDataFrame([(2,)], "node long"), cells, "senior")
     assert long.count() == 27
-    barred = long.where("hex_id = 'c' and step_policy = 'barrier'").first()
+    barred = long.where("hex_id = 'c' and step_policy = 'steps_barrier'").first()
     assert barred.minutes is None and barred.vulnerable and not barred.reachable
     assert [(r.hex_id, r.no_alternative, r.uses_steps) for r in sensitivity.steps_dependence(long).orderBy("hex_id").collect()] == [("a", False, True), ("b", False, False), ("c", True, True)]
     assert sensitivity.reordering(0.97, 0.9) == "reordered" and sensitivity.reordering(0.99, 0.81) == "stable"

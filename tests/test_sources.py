@@ -37,9 +37,9 @@ def test_csv(spark, tmp_path):
 def make_workbook(path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rows = [
-        (5, ["자치구", "동", "인구", "65세 이상"]), (7, ["합계", "소계", "2400", "480"]), (8, ["종로구", "소계", "2100", "420"]), (9, [None, "사직동", "100", "20"]), (10, [None, "삼청동", "2,000", "400"]),
+        (5, ["구분", "총 인구", "65세 이상 총인구", "비고"]), (6, [None, "계", "계", None]), (7, ["서울시", "2100", "420"]), (8, ["종로구", "2100", "420"]), (9, ["사직동", "100", "20"]), (10, ["삼청동", "2,000", "400"]),
     ]
-    shared = ["자치구"]
+    shared = ["구분"]
     body = ""
     for number, cells in rows:
         body += f'<row r="{number}">'
