@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from terrane.llm import _store
 from terrane.llm import _words as words
 
-STATE = "_spans array<struct<begin:bigint,stop:bigint>>, _items array<string>"
-
-
 @dataclass(frozen=True)
 class ContaminationRules:
     window: int = 10
@@ -253,10 +250,10 @@ def find_contamination(
     added = ["n_words", "n_hit", "hits", "items"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     state = docs.selectExpr(
-        *[f"`{c}`" for c in keep], f"`{text}` as _text", "cast(0 as bigint) as _n",
-        "cast(array() as array<struct<begin:bigint,stop:bigint>>) as _spans", "cast(array() as array<string>) as _items",
+        *[f"`{c}`" for c in keep], f"`{text}` as __terrane_text", "cast(0 as bigint) as __terrane_n",
+        "cast(array() as array<struct<begin:bigint,stop:bigint>>) as __terrane_spans", "cast(array() as array<string>) as __terrane_items",
     )
-    names = [*keep, "_text", "_n", "_spans", "_items"]
+    names = [*keep, "__terrane_text", "__terrane_n", "__terrane_spans", "__terrane_items"]
     schema = state.schema
     blocks = 0
     for block in _blocks(benchmark, item, item_text, rules.block_bytes) if benchmark.columns else ():
@@ -271,42 +268,42 @@ def find_contamination(
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(sent.value.shingles), dtype=np.int64)
             for batch in batches:
-                total += count_shingles(words.text_column(batch, "_text"), sent.value)
+                total += count_shingles(words.text_column(batch, "__terrane_text"), sent.value)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["place", "n"])
 
         counts = np.zeros(len(index.shingles), dtype=np.int64)
-        for place, n in state.select("_text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n")).collect():
+        for place, n in state.select("__terrane_text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n")).collect():
             counts[place] = n
         choose_prefix(index, counts)
         ready = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = words.text_column(batch, "_text")
+                column = words.text_column(batch, "__terrane_text")
                 for low, high in words.slices(column):
                     part = batch.slice(low, high - low)
-                    n, spans, items = _pass(column.slice(low, high - low), part.column("_spans"), part.column("_items"), ready.value)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*keep, "_text"]), pa.array(n), spans, items], names=names)
+                    n, spans, items = _pass(column.slice(low, high - low), part.column("__terrane_spans"), part.column("__terrane_items"), ready.value)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*keep, "__terrane_text"]), pa.array(n), spans, items], names=names)
 
         state = state.mapInArrow(run, schema)
     if not blocks:  # words are counted all the same
 
         def only_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = words.text_column(batch, "_text")
+                column = words.text_column(batch, "__terrane_text")
                 for low, high in words.slices(column):
                     part = batch.slice(low, high - low)
                     n = words.Words(column.slice(low, high - low), words.ALNUM, lower=True).count
-                    yield part.set_column(names.index("_n"), "_n", pa.array(n))
+                    yield part.set_column(names.index("__terrane_n"), "__terrane_n", pa.array(n))
 
         state = state.mapInArrow(only_count, schema)
     return state.select(
         *[f"`{c}`" for c in keep],
-        F.col("_n").alias("n_words"),
-        F.expr("aggregate(_spans, 0L, (t, s) -> t + s.stop - s.begin)").alias("n_hit"),
-        F.col("_spans").alias("hits"),
-        F.col("_items").alias("items"),
+        F.col("__terrane_n").alias("n_words"),
+        F.expr("aggregate(__terrane_spans, 0L, (t, s) -> t + s.stop - s.begin)").alias("n_hit"),
+        F.col("__terrane_spans").alias("hits"),
+        F.col("__terrane_items").alias("items"),
     )
 
 

@@ -255,7 +255,7 @@ def extract(pages: DataFrame, html_column: str = "html", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py(), model) for x in batch.column("_html")]
+            texts = [main_text(x.as_py(), model) for x in batch.column("__terrane_html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, type=pa.string())], names=[*keep, "text"])
 
-    return pages.selectExpr(*[f"`{c}`" for c in keep], f"`{html_column}` as _html").mapInArrow(run, schema)
+    return pages.selectExpr(*[f"`{c}`" for c in keep], f"`{html_column}` as __terrane_html").mapInArrow(run, schema)

@@ -133,7 +133,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: CompressionRules =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = words.text_column(batch, "_text")
+            column = words.text_column(batch, "__terrane_text")
             for low, high in words.slices(column):
                 got = measure(column.slice(low, high - low), rules)
                 part = batch.slice(low, high - low)
@@ -141,4 +141,4 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: CompressionRules =
                     [*(part.column(c) for c in keep), *(pa.array(got[n], type=kinds[k]) for n, k in fields)], names=[*keep, *names]
                 )
 
-    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as _text").mapInArrow(run, schema)
+    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as __terrane_text").mapInArrow(run, schema)

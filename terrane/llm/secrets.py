@@ -131,14 +131,14 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = Secre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = words.text_column(batch, "_text")
+            column = words.text_column(batch, "__terrane_text")
             for low, high in words.slices(column):
                 spans = scan(column.slice(low, high - low), rules)
                 part = batch.slice(low, high - low)
                 rows = [[{"kind": a, "begin": b, "stop": c} for a, b, c in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(rows, type=kind)], names=[*keep, "secrets"])
 
-    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as _text").mapInArrow(run, schema)
+    return docs.selectExpr(*[f"`{c}`" for c in keep], f"`{text}` as __terrane_text").mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text: str = "text", rules: SecretRules = SecretRules()) -> DataFrame:

@@ -16,8 +16,8 @@ def texts(seed, n, most=120):
     return [" ".join(rng.choices(VOCABULARY, k=rng.randrange(most))) + rng.choice(["", "\n", "  "]) for _ in range(n)] + ODD
 
 
-def frame(spark, rows, columns="doc_id long, text string, ratio string, kept int"):
-    return spark.createDataFrame([(k, t, "clash", 7) for k, t in rows], columns)
+def frame(spark, rows, columns="doc_id long, text string, ratio string, kept int, items string, secrets int, _text string, n_words int"):
+    return spark.createDataFrame([(k, t, "clash", 7, None, 1, "clash", 3) for k, t in rows], columns)
 
 
 def test_quality_figures(spark):
