@@ -17,7 +17,7 @@ VIEWS = {
             case when l_returnflag = 'R' then 'steps' when l_returnflag = 'A' then 'footway' end as highway
         from {lineitem}""",
     "stops": "select distinct s_suppkey * 37 % 2000 as node from {supplier} where s_acctbal > 0",
-    "added_stops": "select distinct s_suppkey * 53 % 2000 as node from {supplier} where s_acctbal <= 0",
+    "added_stops": "select distinct p_partkey % 2000 as node from {part} where p_partkey % 97 = 5",
     "cells": """
         select p_partkey as hex_id, case when p_partkey % 29 = 0 then null else p_partkey % 2000 end as origin_node_id, p_retailprice as population,
             cast(p_size as double) as senior, case when p_partkey % 31 = 0 then null else p_retailprice * (1 + p_size % 7) end as demand, p_brand as area

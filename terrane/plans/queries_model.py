@@ -57,8 +57,8 @@ def access(spark, sf_dir):
 OFFICIAL = 60.0
 
 
-def scored(spark, sf_dir):
-    return cut(vul.score(access(spark, sf_dir).withColumn("demand_index_final", F.col("demand")), "demand_index_final", official_m=OFFICIAL))
+def scored(spark, sf_dir, official_m=OFFICIAL):
+    return cut(vul.score(access(spark, sf_dir).withColumn("demand_index_final", F.col("demand")), "demand_index_final", official_m=official_m))
 
 
 @register("r02_nearest_cost", rounded(model_sql(ALL_PATHS + " select node, d0.cost as cost_m0, d1.cost as cost_m1, d2.cost as cost_m2, d3.cost as cost_m3 from d0 join d1 using (node) join d2 using (node) join d3 using (node)"), *COSTS))
@@ -349,8 +349,8 @@ def weather_response(spark, sf_dir):
 
 @register("r25_weather_candidates")
 def weather_candidates(spark, sf_dir):
-    """Hidden cells by their weather response, with low-cost actions: the twenty highest."""
-    found = vul.diagnose(scored(spark, sf_dir).withColumn("registered_senior_population", F.col("senior")), official_m=OFFICIAL)
+    """Cells that are hidden at 2 km by their weather response, with low-cost actions: the twenty highest."""
+    found = vul.diagnose(scored(spark, sf_dir, 2000.0).withColumn("registered_senior_population", F.col("senior")), official_m=2000.0)
     return sensitivity.weather_candidates(found, 20).select("hex_id", "scenario3_score", "primary_low_cost_type", "recommended_actions", sensitivity.reason_label("primary_reason").alias("reason"))
 
 
