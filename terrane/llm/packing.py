@@ -97,7 +97,7 @@ def cut_pieces(docs: DataFrame, file: tokens.TokenizerFile, doc_id: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = words.text_column(batch, "_text")
-            for low, high in words.slices(column):
+            for low, high in words.slices(column, tokens.SLICE_BYTES):
                 ids, first = tokens.encoder(file).ids(column.slice(low, high - low))
                 size = np.diff(first) + 1
                 pieces = -(-size // rules.capacity)

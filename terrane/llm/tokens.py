@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -24,6 +25,8 @@ from terrane.llm import _words as words
 #: Breaks between words: blank, tab, line feed, carriage return; all other white space is left to the tokenizer.
 _BREAKS = np.ones(256, dtype=bool)
 _BREAKS[[0x20, 0x09, 0x0A, 0x0D]] = False
+#: Text (bytes) whose distinct words are encoded together.
+SLICE_BYTES = 8 << 20
 #: These form a token run of their own after a letter or digit and combine with nothing.
 _TAIL = ".,;:!?|"
 
@@ -32,8 +35,8 @@ _TAIL = ".,;:!?|"
 class TokenizerFile:
     """A tokenizers .json or sentencepiece .model file.
 
-    by_word: it drops white space and encodes words apart, in lower case (as
-    word_bpe_49k does). Otherwise whole texts are encoded.
+    by_word: it drops white space and encodes words apart, in lower case, by a
+    model that takes ASCII letters as they are (as word_bpe_49k does). Otherwise whole texts are encoded.
     """
 
     path: str
@@ -60,6 +63,7 @@ class Encoder:
     def __init__(self, file: TokenizerFile):
         self.by_word = file.by_word
         self._kept: dict[str, bytes] = {}
+        self._tokenize = None
         if file.path.endswith(".model"):
             import sentencepiece
 
@@ -72,33 +76,44 @@ class Encoder:
             model = Tokenizer.from_file(file.path)
             model.no_truncation()
             model.no_padding()
+            self._tokenize = model.model.tokenize
             self._encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x, dtype=np.uint32).tobytes() for x in self._encode(texts)]
+        return [array("I", x).tobytes() for x in self._encode(texts)]
 
     def _of_words(self, distinct: list[str], counts: np.ndarray) -> list[bytes]:
         kept = self._kept
-        split: list[tuple[str, str]] = []
+        out = [kept.get(w) for w in distinct]
+        split: list[tuple[int, str, str]] = []
         fresh: dict[str, int] = {}
-        for word, count in zip(distinct, counts.tolist(), strict=True):
+        for k, word in enumerate(distinct):
+            if out[k] is not None:
+                continue
             core, tail = word, ""
             if "<|" not in word:  # a special string must stay as it is
                 core = word.lower() if word.isascii() else word
                 cut = core.rstrip(_TAIL)
                 if cut and cut[-1].isalnum():
                     core, tail = cut, core[len(cut) :]
-            split.append((core, tail))
+            split.append((k, core, tail))
             if core not in kept:
-                fresh[core] = fresh.get(core, 0) + count
+                fresh[core] = 0
             if tail and tail not in kept:
-                fresh[tail] = fresh.get(tail, 0) + count
-        names = list(fresh)
-        found = dict(zip(names, self._bytes(names), strict=True))
-        out = [(found[a] if a in found else kept[a]) + ((found[b] if b in found else kept[b]) if b else b"") for a, b in split]
+                fresh[tail] = 0
+        plain = [w for w in fresh if w.isascii() and w.isalpha()]  # letters pass the normaliser and the split unchanged
+        other = [w for w in fresh if not (w.isascii() and w.isalpha())]
+        found = {w: array("I", [t.id for t in self._tokenize(w)]).tobytes() for w in plain}
+        found.update(zip(other, self._bytes(other), strict=True))
+        for k, core, tail in split:
+            whole = found[core] if core in found else kept[core]
+            out[k] = whole + (found[tail] if tail in found else kept[tail]) if tail else whole
+            if core in fresh:
+                fresh[core] += 1
         if len(kept) > self.MOST_WORDS:
             kept.clear()
-        kept.update((w, found[w]) for w in names if fresh[w] > 1)
+        kept.update((w, found[w]) for w, n in fresh.items() if n > 1)
+        kept.update((distinct[k], out[k]) for k, _, _ in split if counts[k] > 1)
         return out
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +181,7 @@ def count_tokens(docs: DataFrame, file: TokenizerFile, cache_dir: str, doc_id: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = words.text_column(batch, "_text")
-            for low, high in words.slices(column):
+            for low, high in words.slices(column, SLICE_BYTES):
                 counts = encoder(file).counts(column.slice(low, high - low))
                 yield pa.RecordBatch.from_arrays([batch.column("digest").slice(low, high - low), pa.array(counts)], names=["digest", "n_tokens"])
 
