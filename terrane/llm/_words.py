@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once; a single longer text forms its own slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def _table(breaks: list[int]) -> np.ndarray:
