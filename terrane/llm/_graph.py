@@ -1,4 +1,4 @@
-"""Connected components by joins: labels spread along links and jump over labels until nothing changes."""
+"""Connected components by contraction: every node joins its least neighbour, and links between what has met are dropped."""
 
 from __future__ import annotations
 
@@ -11,20 +11,24 @@ from terrane.llm import _store
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the least node that links reach, for every node of a link.
 
-    Links may repeat or stand in both directions. Minima are pre-aggregated in
-    each task; a node with very many links is only ever one side of a join that
-    can be split. Labels are written to the shared folder each round.
+    Links may repeat or stand in both directions. Each round points every node
+    at its least neighbour (if less than itself), follows two pointers, and
+    rewrites the links between what the nodes have become; equal ends drop out.
+    Nodes at least halve in a round, and links shrink with them. Minima are
+    pre-aggregated in each task; all tables are written to the shared folder.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b), F.col(a))).where("u != v").distinct()
-    both = _store.stored(both, "links")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("label"))
-    while True:
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    left = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").select(low.alias("u"), high.alias("v")).distinct()
+    left = _store.stored(left, "links")
+    labels = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("label", F.col("node"))
+    while not left.isEmpty():
+        ends = left.union(left.select("v", "u"))
+        parent = _store.stored(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("up")), "parents")
+        over = parent.select(F.col("u").alias("up"), F.col("up").alias("top"))
+        top = _store.stored(parent.join(over, "up").select("u", "top"), "tops")
+        labels = labels.join(top, labels.label == top.u, "left").select("node", F.coalesce("top", "label").alias("label"))
         labels = _store.stored(labels, "labels")
-        near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("had"), F.least("label", "near").alias("label"))
-        over = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = met.join(over, "label").select("node", "had", F.least("label", "next").alias("label"))
-        jumped = _store.stored(jumped, "jumped")
-        if not jumped.where("had != label").limit(1).count():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        one, two = top.toDF("u", "_u"), top.toDF("v", "_v")
+        moved = left.join(one, "u").join(two, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).where("u != v")
+        left = _store.stored(moved.select(low.alias("u"), high.alias("v")).distinct(), "links")
+    return labels
