@@ -41,7 +41,7 @@ class JaccardRules:
     #: Share of the documents from which a shingle is hot. At most (shingles of a document) * 2 / hot_share are listed.
     hot_share: float = 0.004
     #: Shingles to a group of the count vector, about.
-    group_shingles: int = 6
+    group_shingles: int = 3
     #: Members up to which a cell tests all pairs.
     small_cell: int = 8
     #: Rows of cells that a task takes on average.
@@ -51,7 +51,11 @@ class JaccardRules:
 
 
 class Sets:
-    """Distinct shingles of some texts: text `doc` holds `hash`, sorted by text and order value."""
+    """Distinct shingles of some texts: text `doc` holds `hash`, sorted by text and order value.
+
+    The order value is the high 40 bits of the hash, hot ones last. Two shingles
+    that share one count as equal in cells, which only adds pairs to test.
+    """
 
     def __init__(self, column: pa.Array, rules: JaccardRules, hot: np.ndarray):
         found = words.Words(column, words.SPACED, lower=True)
@@ -60,7 +64,8 @@ class Sets:
         starts = found.windows(rules.shingle)
         of = found.text_of()[starts]
         value = words.rolled(each, rules.shingle)[starts] if len(each) else each
-        order, new = words.grouped(value + words.mix(of.astype(np.uint64) + np.uint64(1)), codes, starts, rules.shingle)
+        # sorted by text, then by the high bits of the hash, which are the order value
+        order, new = words.grouped((of.astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24)), codes, starts, rules.shingle)
         some = order[new]
         docs, hashes = [of[some]], [value[some]]
         for size in range(1, rules.shingle):
@@ -69,11 +74,13 @@ class Sets:
                 docs.append(short)
                 hashes.append(words.mix(words.rolled(each, size)[found.first[short]] + np.uint64(size)))
         doc, value = np.concatenate(docs), np.concatenate(hashes)
-        rank = value >> np.uint64(1)
+        rank = value >> np.uint64(24)
+        late = np.zeros(len(rank), dtype=np.int64)
         if len(hot):
             spot = np.minimum(np.searchsorted(hot, rank), len(hot) - 1)
-            rank = np.where(hot[spot] == rank, rank | np.uint64(1 << 63), rank)
-        order = np.lexsort((rank, doc))
+            late = (hot[spot] == rank).astype(np.int64)
+            rank = rank | (late.astype(np.uint64) << np.uint64(40))
+        order = np.argsort(2 * doc + late, kind="stable")  # short texts and hot shingles stand apart so far
         self.doc, self.hash, self.rank = doc[order], value[order], rank[order]
         self.count = np.bincount(self.doc, minlength=len(column))
         self.first = np.append(0, np.cumsum(self.count))
@@ -88,17 +95,16 @@ class Sets:
         return np.stack([self._summed(0x243F6A8885A308D3), self._summed(0x13198A2E03707344)], axis=1)
 
     def vectors(self, rules: JaccardRules) -> list[bytes]:
-        """Counts by group of hashes (uint16, little-endian); the number of groups is a power of two."""
+        """Counts by group of hashes, a byte each; the number of groups is a power of two."""
         wide = np.maximum(self.count // rules.group_shingles, 16)
         groups = 1 << np.ceil(np.log2(wide)).astype(np.int64)
         base = np.append(0, np.cumsum(groups))
         at = base[self.doc] + (self.hash & (groups[self.doc] - 1).astype(np.uint64)).astype(np.int64)
         counts = np.bincount(at, minlength=int(base[-1]))
-        # a group over 65,535 would lower the bound; such sets have all shingles in one group instead
-        counts = counts.astype(np.int64)
-        kept = np.minimum(counts, 0xFFFF).astype("<u2")
+        # a group over 255 would lower the bound; the point of such a set is left empty, which bounds nothing
+        kept = np.minimum(counts, 255).astype(np.uint8)
         out = [kept[base[k] : base[k + 1]].tobytes() for k in range(len(groups))]
-        for k in np.unique(np.searchsorted(base, np.flatnonzero(counts > 0xFFFF), side="right") - 1).tolist():
+        for k in np.unique(np.searchsorted(base, np.flatnonzero(counts > 255), side="right") - 1).tolist():
             out[k] = b""
         return out
 
@@ -171,12 +177,12 @@ def _points(vectors: list[bytes], sizes: np.ndarray, groups: int) -> np.ndarray:
     """Count vectors folded to a number of groups; one that is missing has all its shingles anywhere."""
     out = np.empty((len(vectors), groups), dtype=np.int32)
     for k, raw in enumerate(vectors):
-        out[k] = np.frombuffer(raw, "<u2").reshape(-1, groups).sum(axis=0) if raw else sizes[k]
+        out[k] = np.frombuffer(raw, np.uint8).reshape(-1, groups).sum(axis=0) if raw else sizes[k]
     return out
 
 
 def _groups(raw: bytes) -> int:
-    return len(raw) // 2 if raw else 1 << 30
+    return len(raw) if raw else 1 << 30
 
 
 def reachable(a: list[bytes], size_a: np.ndarray, b: list[bytes], size_b: np.ndarray, rules: JaccardRules) -> np.ndarray:
@@ -243,6 +249,28 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rules:
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
+def _between(table: pa.Table, rules: JaccardRules, best: bool) -> pa.Table:
+    """Pairs of a cell's members in different components that can be similar; if best, one for each member and component."""
+    sizes = table.column("n").to_numpy()
+    raw, names, groups = table.column("vector").to_pylist(), table.column("node").to_pylist(), table.column("label").to_pylist()
+    number = {x: k for k, x in enumerate(sorted(set(groups)))}
+    labels = np.array([number[x] for x in groups], dtype=np.int64)
+    wide = min(_groups(x) for x in raw)
+    points = _points(raw, sizes, wide) if wide < 1 << 30 else sizes[:, None]
+    a, b = tree_pairs(points, sizes, labels, rules) if len(number) > 1 else (np.zeros(0, np.int64),) * 2
+    if best and len(a):
+        swap = labels[a] < labels[b]
+        own, other = np.where(swap, b, a), np.where(swap, a, b)  # from the component with the greater label
+        shared = np.concatenate([np.minimum(points[own[k : k + 4096]], points[other[k : k + 4096]]).sum(axis=1) for k in range(0, len(own), 4096)])
+        order = np.lexsort((other, -shared, labels[other], own))
+        own, other = own[order], other[order]
+        first = np.ones(len(own), dtype=bool)
+        first[1:] = (own[1:] != own[:-1]) | (labels[other][1:] != labels[other][:-1])
+        a, b = own[first], other[first]
+    pairs = [(min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    return pa.table({"a": pa.array([x for x, _ in pairs], type=pa.binary()), "b": pa.array([y for _, y in pairs], type=pa.binary())})
+
+
 def similar(left: pa.Array, right: pa.Array, rules: JaccardRules) -> np.ndarray:
     """Which pairs of texts are similar, by their words. Texts shorter than a shingle are not like any other set."""
     both = pa.concat_arrays([left, right])
@@ -278,7 +306,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, rules: JaccardRules) -> DataFr
 def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> tuple[DataFrame, DataFrame]:
     """doc_id, _key (hash of the text), n, node, label of every row (node and label null without words); and the links found."""
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_key"), F.col(text).alias("_text")
+        F.col(doc_id).alias("doc_id"), F.col(doc_id).alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_key"), F.col(text).alias("_text")
     )
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(rows.select("_text"), rules))
@@ -311,7 +339,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> t
 
     kind = docs.schema[doc_id].dataType.simpleString()
     points = _store.stored(
-        rows.mapInArrow(measure, f"doc_id {kind}, _id long, _key long, n long, node binary, short long, vector binary, prefix array<long>"), "points"
+        rows.mapInArrow(measure, f"doc_id {kind}, _id {kind}, _key long, n long, node binary, short long, vector binary, prefix array<long>"), "points"
     )
     nodes = points.where("vector is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("short").alias("short"), F.min("vector").alias("vector"), F.min(F.struct("_id", "_key")).alias("_at"))
     nodes = _store.stored(nodes, "nodes")
@@ -350,31 +378,35 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> t
     links = _store.stored(_verified(tried, texts_of(tried), rules), "verified")
     labels = _graph.components(links)
 
-    # large cells whose members are in several components: an R-tree over their points
-    large = met.where("cell is not null").select("cell", F.col("a").alias("short")).join(nodes.select("short", "node", "n", "vector"), "short")
-    large = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = large.groupBy("cell").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("cell")
-
-    def search(table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_numpy()
-        raw, names, groups = table.column("vector").to_pylist(), table.column("node").to_pylist(), table.column("label").to_pylist()
-        number = {x: k for k, x in enumerate(dict.fromkeys(groups))}
-        wide = min(_groups(x) for x in raw)
-        points = _points(raw, sizes, wide) if wide < 1 << 30 else sizes[:, None]
-        a, b = tree_pairs(points, sizes, np.array([number[x] for x in groups]), rules)
-        low = [min(names[x], names[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        high = [max(names[x], names[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        return pa.table({"a": pa.array(low, type=pa.binary()), "b": pa.array(high, type=pa.binary())})
-
-    # the first level of the tree is size: a set meets those of its own step and, sent on, of the next
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / rules.percent)))
-    large = large.join(mixed, "cell", "left_semi").select("cell", "node", "n", "vector", "label", F.explode(F.array(step, step + 1)).alias("step"))
-    more = large.groupBy("cell", "step").applyInArrow(search, "a binary, b binary").distinct()
-    more = _store.stored(more.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        links = links.union(_verified(more, texts_of(more), rules))
-        links = _store.stored(links, "links")
-        labels = _graph.components(links)
+    # Large cells whose members are in several components: an R-tree over their points. First each member with the
+    # likeliest one of every other component, which joins nearly all that belong together; then all pairs that are left.
+    members = met.where("cell is not null").select("cell", F.col("a").alias("short")).join(nodes.select("short", "node", "n", "vector"), "short").drop("short")
+    # of cells with the same members one is enough
+    same = members.groupBy("cell").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y"))
+    members = _store.stored(members.join(same.groupBy("_n", "_x", "_y").agg(F.min("cell").alias("cell")).select("cell"), "cell", "left_semi"), "members")
+
+    def search_best(table: pa.Table) -> pa.Table:
+        return _between(table, rules, best=True)
+
+    def search_rest(table: pa.Table) -> pa.Table:
+        return _between(table, rules, best=False)
+
+    for search in (search_best, search_rest):
+        large = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = large.groupBy("cell").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select("cell")
+        # the first level of the tree is size: a set meets those of its own step and, sent on, of the next
+        step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / rules.percent)))
+        large = large.join(mixed, "cell", "left_semi").select("cell", "node", "n", "vector", "label", F.explode(F.array(step, step + 1)).alias("step"))
+        more = large.groupBy("cell", "step").applyInArrow(search, "a binary, b binary").distinct()
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = _store.stored(more.join(done, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        found = _store.stored(_verified(more, texts_of(more), rules), "verified")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = _graph.components(links)
 
     return points.select("doc_id", "_key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), links
 
@@ -404,12 +436,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
     known, _ = _labelled(docs, doc_id, text, rules)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("at")
     chosen = known.where("label is not null").groupBy("label").agg(first).select(F.col("at.doc_id").alias("_doc"), F.col("at._key").alias("_key"))
-    empty = known.where("label is null").select(F.col("doc_id").alias("_doc"), "_key", F.lit(True).alias("_all")).distinct()
-    chosen = chosen.withColumn("_all", F.lit(False)).union(empty).alias("c")
-    rows = docs.withColumn("_row_key", F.coalesce(F.xxhash64(text), F.lit(0))).alias("r")
-    met = rows.join(chosen, F.col(f"r.`{doc_id}`").eqNullSafe(F.col("c._doc")) & (F.col("r._row_key") == F.col("c._key")))
-    nth = F.row_number().over(Window.partitionBy(f"r.`{doc_id}`", "r._row_key").orderBy(F.lit(0)))
-    return met.withColumn("_nth", nth).where("_all or _nth = 1").select(*[F.col(f"r.`{c}`") for c in docs.columns])
+    empty = known.where("label is null").select(F.col("doc_id").alias("_doc"), "_key", F.lit(True).alias("__terrane_all")).distinct()
+    chosen = chosen.withColumn("__terrane_all", F.lit(False)).union(empty).alias("c")
+    rows = docs.withColumn("__terrane_key", F.coalesce(F.xxhash64(text), F.lit(0))).alias("r")
+    met = rows.join(chosen, F.col(f"r.`{doc_id}`").eqNullSafe(F.col("c._doc")) & (F.col("r.__terrane_key") == F.col("c._key")))
+    nth = F.row_number().over(Window.partitionBy(f"r.`{doc_id}`", "r.__terrane_key").orderBy(F.lit(0)))
+    return met.withColumn("__terrane_nth", nth).where("__terrane_all or __terrane_nth = 1").select(*[F.col(f"r.`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL for the agreed columns of the registered query.
