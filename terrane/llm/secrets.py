@@ -2,9 +2,10 @@
 
 Three patterns give the base spans. The method adds strings that a byte-pair
 vocabulary cannot shorten: prose and identifiers take several characters a
-token, random strings under two. Digests of known lengths and identifiers
-(plain words, UUIDs, dates, numbers, paths and compounds of words) are left
-out first.
+token, random strings under two. Every run of `least_chars` is scored, with
+digits or without. Digests of known lengths and identifiers (plain words, UUIDs,
+dates, numbers, paths and compounds of words) are left out first, so a random
+string that has the shape of a word, such as letters in one case, is not found.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class SecretRules:
     #: tiktoken rank file and its split pattern; None takes byte_bpe_50k of the public tokenizers.
     ranks_path: str | None = None
     pattern: str | None = None
-    least_chars: int = 20
+    least_chars: int = 16
     #: Fewer characters a token than this marks a random string.
     chars_per_token: float = 2.1
     #: Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
@@ -78,7 +79,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges of maximal runs of secret characters with at least `least` bytes, a digit and a letter."""
+    """Byte ranges of maximal runs of secret characters with at least `least` bytes."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _RUN[data]
     step = np.diff(inside)
@@ -89,11 +90,7 @@ def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
         hit = (at >= 0) & (begin[np.maximum(at, 0)] < cuts) & (end[np.maximum(at, 0)] > cuts)
         begin, end = np.union1d(begin, cuts[hit]), np.union1d(end, cuts[hit])
     wide = end - begin >= least
-    begin, end = begin[wide], end[wide]
-    digits = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum((data >= 0x30) & (data <= 0x39), out=digits[1:])
-    mixed = (digits[end] > digits[begin]) & (digits[end] - digits[begin] < end - begin)
-    return begin[mixed], end[mixed]
+    return begin[wide], end[wide]
 
 
 def scan(column: pa.Array, rules: SecretRules) -> list[list[tuple[str, int, int]]]:

@@ -89,3 +89,18 @@ def test_secret_spans(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
     assert clean[4] == "née [SECRET] x" and clean[6] is None and clean[5] == cases[5][0]
     assert secrets.find_secrets(frame(spark, [])).count() == 0
+
+
+def test_secrets_without_digits_and_short_ones(spark):
+    rng = random.Random(8)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    planted = ["qZxWvKjTbRmNpLdF", "qZxWvKjTbRmNpLdFgHsXcVbQ", "q7ZxW2vKjT9bRm4N", "aB3xK9mQ2zR7wT5vY8n"]
+    planted += ["QZ" + "".join(rng.choices(letters, k=k)) + "xQZ" for k in range(11, 36) for _ in range(4)]
+    planted += ["Q7z" + "".join(rng.choices(letters + digits, k=k)) + "Q7z" for k in range(10, 14) for _ in range(10)]
+    clean = ["internationalization", "Donaudampfschifffahrt", "getElementByClassName", "----------------", "2026-01-02/03-04-05", "UPPER_CASE_CONSTANT", "some/path/to/file"]
+    rows = [(k, f"née {run} x") for k, run in enumerate(planted + clean)]
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.find_secrets(frame(spark, rows), keep=["doc_id"]).collect()}
+    for k, run in enumerate(planted + clean):
+        assert got[k] == ([("random", 4, 4 + len(run))] if run in planted else []), run
+    cut = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert all(cut[k] == ("née [SECRET] x" if run in planted else f"née {run} x") for k, run in enumerate(planted + clean))
