@@ -4,7 +4,8 @@ The zstandard ratio (compressed bytes over bytes) of natural text lies in a
 band that depends on its length: far lower means repetition, far higher means
 noise. Whole documents are held against the band of their length, and every
 fixed chunk against the band of a chunk, so that a repetitive or random part
-cannot hide in a long document.
+cannot hide in a long document. A rest too short for that band is held against
+the band of its own length, as a whole text of that length would be.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class CompressionRules:
 
     level: int = 3
     chunk_bytes: int = 4096
-    #: A shorter rest at a document's end belongs to no chunk.
+    #: A shorter rest at a document's end is no chunk; the bands by length judge it.
     least_chunk_bytes: int = 2048
     chunk: Band = Band(2048, 0.425, 0.62)
     bands: tuple[Band, ...] = field(
@@ -90,6 +91,11 @@ def measure(column: pa.Array, rules: CompressionRules) -> dict[str, list | np.nd
     n_words = found.count
     base_failed = (n_words < rules.least_words) | (100 * n_repeat > rules.repeat_percent * n_words)
     squeeze = zstandard.ZstdCompressor(level=rules.level).compress
+
+    def natural(ratio: float, length: int) -> bool:
+        band = max((b for b in rules.bands if b.least_bytes <= length), key=lambda b: b.least_bytes)
+        return band.low <= ratio <= band.high
+
     out: dict = {"n_dup_lines": [], "ratio": [], "low_chunk": [], "high_chunk": [], "verdict": []}
     for k in range(len(column)):
         text = data[offsets[k] : offsets[k + 1]].tobytes()
@@ -100,12 +106,15 @@ def measure(column: pa.Array, rules: CompressionRules) -> dict[str, list | np.nd
             chunks = [len(squeeze(x)) / len(x) for x in parts if len(x) >= rules.least_chunk_bytes]
         else:
             chunks = [ratio] if len(text) >= rules.least_chunk_bytes else []
-        band = max((b for b in rules.bands if b.least_bytes <= len(text)), key=lambda b: b.least_bytes)
+        rest = parts[-1] if len(parts) > 1 and len(parts[-1]) < rules.least_chunk_bytes else b""
         out["ratio"].append(ratio)
         out["low_chunk"].append(min(chunks, default=None))
         out["high_chunk"].append(max(chunks, default=None))
         out["verdict"].append(
-            ratio is not None and band.low <= ratio <= band.high and all(rules.chunk.low <= x <= rules.chunk.high for x in chunks)
+            ratio is not None
+            and natural(ratio, len(text))
+            and all(rules.chunk.low <= x <= rules.chunk.high for x in chunks)
+            and (not rest or natural(len(squeeze(rest)) / len(rest), len(rest)))
         )
     return out | {
         "n_words": n_words,

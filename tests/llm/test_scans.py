@@ -41,6 +41,18 @@ def test_quality_verdict(spark):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_quality_junk_in_a_short_rest(spark):
+    rng = random.Random(4)
+    syllables = [a + b for a in "bdfgklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "en", "in", "on", "or", "er", "al")]
+    prose = " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(4000))
+    noise = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=2040))
+    lengths = (700, 1200, 2040)
+    tails = [x[:n] for n in lengths for x in (prose[3 * 4096 :], noise, "the same again " * 200)]
+    rows = [(k, prose[: 3 * 4096] + tail) for k, tail in enumerate(tails)] + [(99, prose[: 3 * 4096])]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 3 == 0 for k in range(len(tails))} | {99: True}
+
+
 def test_quality_empty_table(spark):
     assert quality.quality_rules(frame(spark, [])).count() == 0
 
