@@ -55,36 +55,43 @@ class Block:
     heading: bool
 
 
-def _hinted(attributes: str) -> tuple[bool, bool]:
-    """Whether names on the element tell page furniture; whether its role is main."""
-    hint = main = False
+def _hinted(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether names on the element tell page furniture; whether it is hidden; whether its role is main."""
+    hint = hidden = main = False
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "style":
-            hint |= "display:none" in value.replace(" ", "")
+            hidden |= "display:none" in value.replace(" ", "")
         elif name in ("hidden", "aria-hidden"):
-            hint |= value != "false"
+            hidden |= value != "false"
         else:
             found = _SPLIT.split(value)
             main |= name == "role" and "main" in found
             hint |= not _HINTS.isdisjoint(found)
-    return hint, main
+    return hint, hidden, main
 
 
 def blocks(page: str) -> list[Block]:
-    """Flat text blocks of a page in order; blocks without text are left out."""
+    """Flat text blocks of a page in order; blocks without text are left out.
+
+    A name on an element around a main element is no hint for what is inside;
+    nor is one around an article, unless the page has an article outside such
+    names, beside which it is a comment or a teaser.
+    """
     out: list[Block] = []
+    around: list[bool] = []
     parts: list[str] = []
     linked: list[str] = []
-    # open elements: name, in an article, in furniture, under a hint
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # open elements: name, in an article, in furniture, under a hint, under a name around the article
+    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
     links = heading = 0
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            _, article, furniture, hint = stack[-1]
+            _, article, furniture, hint, outer = stack[-1]
+            around.append(outer)
             out.append(Block(text, len(text.split()), len(html.unescape("".join(linked)).split()), article, furniture, hint, heading > 0))
         parts, linked = [], []
 
@@ -134,17 +141,24 @@ def blocks(page: str) -> list[Block]:
             shut("p", frozenset({"button", "td", "th", "table"}))
             if name == "li":
                 shut("li", frozenset({"ul", "ol", "menu"}))
-        hint, main = _hinted(attributes) if attributes else (False, False)
-        _, article, furniture, under = stack[-1]
+        named, hidden, main = _hinted(attributes) if attributes else (False, False, False)
+        _, article, furniture, under, outer = stack[-1]
         if name in ("body", "html", "main") or (name == "article" and not under):
-            hint = hint and "hidden" in attributes.lower()  # names of the whole page tell nothing of its parts
+            named, hidden = False, (named or hidden) and "hidden" in attributes.lower()  # names of the whole page tell nothing of its parts
+        if not article and (main or name == "main"):
+            named = outer = False
+        elif not article:
+            named, outer = False, outer or named
         article |= main or name in ("article", "main")
         furniture |= name in _FURNITURE or (name == "header" and not article)
-        stack.append((name, article, furniture, under or hint))
+        stack.append((name, article, furniture, under or named or hidden, outer))
         links += name == "a"
         heading += name in _HEADINGS
     add(page[at:])
     close()
+    clear = any(b.article and not (b.furniture or b.hint or o) for b, o in zip(out, around, strict=True))
+    for b, o in zip(out, around, strict=True):
+        b.hint |= o and (clear or not b.article)
     return out
 
 

@@ -201,4 +201,63 @@ TABLE = """
 
 0 8 0 ph
 0 3 3 pc
+
+1 5 0 pat
+1 60 0 pa
+1 60 0 pa
+1 60 0 pa
+
+0 1 1 pc
+0 2 2 pc
+1 9 0 pat
+1 45 0 pa
+1 120 3 pa
+1 33 0 pa
+
+0 8 0 pc
+0 11 0 ph
+1 7 0 pat
+1 20 0 pa
+1 9 0 pa
+1 85 2 pa
+1 14 0 pa
+
+0 3 3 pc
+1 12 0 pat
+1 150 0 pa
+1 28 4 pa
+1 10 0 pa
+
+1 30 0 pa
+1 90 1 pa
+1 7 0 pa
+
+0 2 2 pc
+1 6 0 pat
+1 70 0 pa
+1 55 0 pa
+0 30 0 pah
+0 42 0 pah
+
+1 8 0 pat
+1 64 2 pa
+1 38 0 pa
+0 26 0 pac
+
+1 5 0 pat
+1 40 0 pa
+1 52 0 pa
+0 30 0 p
+
+1 7 0 t
+1 44 0 -
+1 61 2 -
+1 27 0 -
+
+0 2 2 -
+0 3 3 -
+1 6 0 t
+1 35 0 -
+1 80 1 -
+1 58 0 -
 """

@@ -45,6 +45,32 @@ def test_held_out_accuracy():
     assert right / total >= 0.9
 
 
+def paragraphs(*sizes):
+    return [" ".join(f"{name}{k}" for k in range(n)) for name, n in zip("abcdefg", sizes, strict=False)]
+
+
+@pytest.mark.parametrize("sizes", [(60, 60, 60), (30, 9), (15, 200, 12), (45, 8, 100, 25)])
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<article>{}", "<nav><a>One</a></nav><main>{}</main></body>", "<article>{}</article><footer>Somebody wrote it</footer>"])
+def test_page_ends_inside_the_article(sizes, shell):
+    own = paragraphs(*sizes)
+    page = shell.format("<h1>one two three four five</h1>" + "".join(f"<p>{x}</p>" for x in own))
+    assert extraction.main_text(page, extraction.classifier()).split("\n") == ["one two three four five", *own]
+
+
+@pytest.mark.parametrize("around", ["modal", "social page", "notice", "comments"])
+@pytest.mark.parametrize("name", ["article", "main", 'div role="main"'])
+def test_names_around_the_article(around, name):
+    own, said = paragraphs(60, 60), "<p>" + "said " * 40 + "</p>"
+    inside = "<h1>one two three four five</h1>" + "".join(f"<p>{x}</p>" for x in own)
+    whole = f'<div class="{around}"><div><{name}>{inside}<div class="comments">{said}</div></{name.split()[0]}></div></div><footer>Somebody</footer>'
+    tree = extraction.classifier()
+    assert extraction.main_text(whole, tree).split("\n") == ["one two three four five", *own]
+    beside = f'<article>{inside}</article><div class="comments"><article>{said}</article><article>{said}</article></div><footer>Somebody</footer>'
+    assert extraction.main_text(beside, tree).split("\n") == ["one two three four five", *own]
+    hidden = f'<div hidden><{name}>{inside}</{name.split()[0]}></div><footer>Somebody</footer>'
+    assert extraction.main_text(hidden, tree) == ""
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
