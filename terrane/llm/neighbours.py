@@ -44,6 +44,9 @@ class JaccardRules:
     group_shingles: int = 3
     #: Members up to which a cell tests all pairs.
     small_cell: int = 8
+    #: Sets, and bytes of text, of a component's block; links are counted between two blocks at a time.
+    link_block: int = 256
+    link_bytes: int = 4 << 20
     #: Rows of cells that a task takes on average.
     bucket_rows: int = 500_000
     #: Points in a leaf of the R-tree.
@@ -411,24 +414,90 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> t
     return points.select("doc_id", "_key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), links
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JaccardRules = JaccardRules()) -> DataFrame:
-    """doc_id, n_shingles, n_links (other sets that were found similar), component_id of every row.
+def block_links(column: pa.Array, block: np.ndarray, weight: np.ndarray, rules: JaccardRules) -> np.ndarray:
+    """Summed weights of the texts similar to each one: those of the other block, or of its own if there is one only."""
+    found = words.Words(column, words.SPACED, lower=True)
+    codes, distinct = found.coded()
+    starts = found.windows(rules.shingle)
+    if not len(starts):
+        return np.zeros(len(column), dtype=np.int64)
+    order, new = words.grouped(words.rolled(words.hashes(distinct)[codes], rules.shingle)[starts], codes, starts, rules.shingle)
+    name = np.empty(len(starts), dtype=np.int64)
+    name[order] = np.cumsum(new) - 1
+    name, of = np.divmod(np.unique(name * len(column) + found.text_of()[starts]), len(column))
+    size = np.bincount(of, minlength=len(column))
+    several = np.bincount(name)[name] > 1
+    _, name = np.unique(name[several], return_inverse=True)
+    of = of[several]
+    shared = np.zeros((len(column), len(column)), dtype=np.float32)
+    width = 4096
+    for low in range(0, int(name.max(initial=-1)) + 1, width):
+        first, stop = np.searchsorted(name, (low, low + width))
+        held = np.zeros((len(column), width), dtype=np.float32)
+        held[of[first:stop], name[first:stop] - low] = 1
+        shared += held @ held.T
+    shared = shared.astype(np.int64)
+    alike = (shared > 0) & (100 * shared >= rules.percent * (size[:, None] + size[None, :] - shared))
+    apart = block[:, None] != block[None, :]
+    np.fill_diagonal(alike, False)
+    return (alike & apart if apart.any() else alike) @ weight
+
+
+def _links(known: DataFrame, docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> DataFrame:
+    """node, n_links: for every set, the other rows with a similar or equal one. All pairs of a component are tested, block by block."""
+    sets = known.where("node is not null").groupBy("label", "node").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "_key")).alias("_at"))
+    sets = _store.stored(sets, "sets")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("_key"), F.col(text).alias("_text")).alias("r")
+    wide = sets.groupBy("label").agg(F.count("*").alias("_n")).where("_n > 1").select("label")
+    asked = sets.join(wide, "label", "left_semi").alias("s")
+    found = texts.join(asked, F.col("r._id").eqNullSafe(F.col("s._at.doc_id")) & (F.col("r._key") == F.col("s._at._key")))
+    found = _store.stored(found.groupBy("s.label", "s.node", "s.weight").agg(F.first("_text").alias("_text")), "linked")
+    blocks = F.greatest(F.ceil(F.count("*") / rules.link_block), F.ceil(F.sum(F.octet_length("_text")) / rules.link_bytes)).cast("int")
+    dealt = found.join(found.groupBy("label").agg(blocks.alias("_blocks")), "label")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.select("label", "block", "node", "weight", "_text", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("label", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "block", "node", "weight", "_text")
+
+    def count(table: pa.Table) -> pa.Table:
+        pair = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        block = table.column("block").to_numpy()
+        if pair and len(np.unique(block)) == 1:  # the other block is empty
+            links = np.zeros(len(block), dtype=np.int64)
+        else:
+            links = block_links(words.text_column(table.combine_chunks().to_batches()[0], "_text"), block, table.column("weight").to_numpy(), rules)
+        return pa.table({"node": table.column("node").cast(pa.binary()), "links": pa.array(links, type=pa.int64())})
+
+    counted = dealt.groupBy("label", "low", "high").applyInArrow(count, "node binary, links long")
+    counted = counted.groupBy("node").agg(F.sum("links").alias("_links"))
+    return sets.join(counted, "node", "left").select("node", (F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
+def _components(known: DataFrame) -> DataFrame:
+    """Add component_id to every row."""
+    least = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    joined = known.join(least, "label", "left")
+    return joined.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JaccardRules = JaccardRules(), links: bool = True
+) -> DataFrame:
+    """doc_id, n_shingles, n_links (other rows with a similar or equal set), component_id of every row; without `links`, no n_links.
 
     Words are lower-cased (A-Z). A text of fewer words than a shingle has all of
     them as its one shingle; without words (or null) it has none and links to
     nothing. component_id is the least id of the rows whose sets are linked with
     this one's through any number of links; rows with equal sets are linked, a
     shared id alone links nothing. Null ids are passed over (null only where all
-    are). Components are exact; n_links counts the links that were tested, and
-    those suffice to connect, so in a large group it can be less than all.
+    are). Components and n_links are exact. Components need few links, n_links
+    all: its time grows with the square of a component's distinct sets.
     """
-    known, links = _labelled(docs, doc_id, text, rules)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    least = known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "label", "left").join(degree, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    known, _ = _labelled(docs, doc_id, text, rules)
+    found = _components(known)
+    if not links:
+        return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    counted = _links(known, docs, doc_id, text, rules)
+    return found.join(counted, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: JaccardRules = JaccardRules()) -> DataFrame:

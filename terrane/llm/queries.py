@@ -59,7 +59,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return neighbours.jaccard_components(_read(spark, sf_dir, "documents"), links=False).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,25 @@ def test_against_all_pairs(spark, rules):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.jaccard_components(docs))
 
 
+def shingles(text):
+    split = brute.spaced(brute.lowered(text or ""))
+    return {tuple(split[k : k + 5]) for k in range(max(1, len(split) - 4))} if split else set()
+
+
+@pytest.mark.parametrize("rules", [neighbours.JaccardRules(), neighbours.JaccardRules(small_cell=2, link_block=3, hot_share=0.05)])
+def test_links_against_all_pairs(spark, rules):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 120, 4)]  # more members than a small cell
+    texts = corpus(4, families=8, singles=12) + near + near[:4] + [near[5].upper(), near[6].replace(" ", "  ")]
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_links for r in neighbours.jaccard_components(frame, rules=rules).collect()}
+    assert max(want) > 30 and got == dict(enumerate(want))
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(5, text), (5, text), (3, text.upper()), (None, text), (None, None), (9, "q r s t u v")]
