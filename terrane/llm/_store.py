@@ -7,6 +7,7 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -25,3 +26,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: Bits of the bitmap of among(); its size bounds the broadcast at 2 MB.
+_BITS = 1 << 24
+
+
+def among(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose key may be one of the keys: a bitmap of the keys' hashes (of a fixed size, broadcast) rules out most others before they are shuffled."""
+    at = F.pmod(F.xxhash64(*names), F.lit(_BITS)) + 1
+    bits = keys.select(at.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_group")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    marked = rows.withColumn("__bit", at).withColumn("__place", F.bitmap_bit_position("__bit"))
+    byte = F.conv(F.hex(F.substring("_map", (F.col("__place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (F.col("__place") % 8).cast("int")) == 1
+    return marked.join(F.broadcast(bits), F.bitmap_bucket_number("__bit") == F.col("_group")).where(held).select(*rows.columns)

@@ -58,6 +58,10 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         low = high
 
 
+#: Bytes of a word that are hashed without a call for each.
+_LONG = 64
+
+
 class Words:
     """The words of some texts.
 
@@ -104,6 +108,21 @@ class Words:
         codes, distinct = self.coded()
         return hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
 
+    def fast_hashes(self) -> np.ndarray:
+        """Another 64-bit hash for each word, of eight bytes at a time; words over `_LONG` bytes by xxh3."""
+        size = self.end - self.begin
+        out = mix(size.astype(np.uint64) + np.uint64(_BASE))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        for k in range(0, min(int(size.max(initial=0)), _LONG), 8):
+            some = np.flatnonzero(size > k)
+            part = padded[(self.begin[some] + k)[:, None] + np.arange(8)].view("<u8").ravel()
+            left = np.minimum(size[some] - k, 8).astype(np.uint64)
+            part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+            out[some] = mix(out[some] ^ part)
+        for k in np.flatnonzero(size > _LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.begin[k] : self.end[k]])
+        return out
+
     def text_of(self) -> np.ndarray:
         """The text that each word is in."""
         return np.repeat(np.arange(len(self.count)), self.count)

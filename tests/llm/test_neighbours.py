@@ -28,7 +28,14 @@ def corpus(seed, families=12, singles=40):
     return out + [None, "", " \n", "a", "A", "a b c", "a b d", "a b c d e", "a b c d e f", "x " * 50, "x " * 60]
 
 
-@pytest.mark.parametrize("rules", [neighbours.JaccardRules(), neighbours.JaccardRules(small_cell=2, bucket_rows=300, hot_share=0.05, leaf=3, group_shingles=2)])
+@pytest.mark.parametrize(
+    "rules",
+    [
+        neighbours.JaccardRules(),
+        neighbours.JaccardRules(small_cell=2, bucket_rows=300, hot_share=0.05, leaf=3, group_shingles=2),
+        neighbours.JaccardRules(small_cell=2, cell_rows=4, wide_cell=4, counted=2, hot_share=0.9, leaf=2),
+    ],
+)
 def test_against_all_pairs(spark, rules):
     docs = list(enumerate(corpus(3)))
     frame = spark.createDataFrame([(k, t, 5) for k, t in docs], "doc_id long, text string, n int").repartition(3)
@@ -55,6 +62,45 @@ def test_links_against_all_pairs(spark, rules):
     assert max(want) > 30 and got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("rules", [neighbours.JaccardRules(), neighbours.JaccardRules(small_cell=2, cell_rows=16, wide_cell=16, counted=2, hot_share=0.9, leaf=4)])
+def test_large_group_of_unlike_sets_in_common_cells(spark, rules):
+    """All share a passage that is not hot, so its cells hold all; few are similar, and those must not be lost."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(70)]
+    texts = []
+    for k in range(90):
+        own = [f"q{rng.randrange(400)}" for _ in range(rng.randrange(15, 60))]
+        texts.append(" ".join(passage + own))
+        if k % 9 == 0:
+            texts += [" ".join(passage + own[:-1]), " ".join([*passage, *own, "z"])]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = neighbours.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), rules=rules, links=False).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute.jaccard_components(docs))
+
+
+def test_what_is_left_bounds_pairs_and_loses_none():
+    """In the cell of the least shingle that two sets share, the bound lets every similar pair through."""
+    rng = np.random.default_rng(5)
+    rules = neighbours.JaccardRules(leaf=4)
+    sets = [set(rng.choice(300, rng.integers(20, 60), replace=False).tolist()) for _ in range(30)]
+    sets += [set(sorted(s)[rng.integers(0, 5) :]) | set(rng.choice(300, 2).tolist()) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    found, similar = set(), set()
+    for shingle in range(300):
+        rows = [k for k, s in enumerate(sets) if shingle in s]
+        rest = np.array([sum(x >= shingle for x in sets[k]) for k in rows], dtype=np.int64)
+        points = np.array([[sum(x % 8 == g for x in sets[k]) for g in range(8)] for k in rows])
+        if len(rows) > 1:
+            a, b = neighbours.tree_pairs(points, sizes[rows], np.arange(len(rows)), rules, rest)
+            found |= {(rows[x], rows[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                similar.add((a, b))
+    assert len(similar) > 20 and similar <= found
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(5, text), (5, text), (3, text.upper()), (None, text), (None, None), (9, "q r s t u v")]
