@@ -56,6 +56,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         high = min(max(high, low + 1), len(column))
         yield low, high
         low = high
+        pa.default_memory_pool().release_unused()
 
 
 #: Bytes of a word that are hashed without a call for each.
@@ -114,11 +115,13 @@ class Words:
         out = mix(size.astype(np.uint64) + np.uint64(_BASE))
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         for k in range(0, min(int(size.max(initial=0)), _LONG), 8):
-            some = np.flatnonzero(size > k)
-            part = padded[(self.begin[some] + k)[:, None] + np.arange(8)].view("<u8").ravel()
-            left = np.minimum(size[some] - k, 8).astype(np.uint64)
-            part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
-            out[some] = mix(out[some] ^ part)
+            longer = np.flatnonzero(size > k)
+            for low in range(0, len(longer), 1 << 16):
+                some = longer[low : low + (1 << 16)]
+                part = padded[(self.begin[some] + k)[:, None] + np.arange(8)].view("<u8").ravel()
+                left = np.minimum(size[some] - k, 8).astype(np.uint64)
+                part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+                out[some] = mix(out[some] ^ part)
         for k in np.flatnonzero(size > _LONG).tolist():
             out[k] = xxhash.xxh3_64_intdigest(self.data[self.begin[k] : self.end[k]])
         return out

@@ -509,7 +509,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> t
     wide_cells = spark.sparkContext.broadcast((np.array([c for c, _ in estimates], dtype=np.int64), np.array([b for _, b in estimates], dtype=np.int64)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of cells that are not wide, packed by bucket; about a million at a time."""
+        """Members of cells that are not wide, packed by bucket; half a million at a time."""
         held, size = [], 0
 
         def packed(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -526,7 +526,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> t
             if len(found):
                 held.append(np.ascontiguousarray(found[~np.isin(found["cell"], wide_cells.value[0])]))
                 size += len(held[-1])
-            if size >= 1_000_000:
+            if size >= 500_000:
                 yield packed(held)
                 held, size = [], 0
         if size:

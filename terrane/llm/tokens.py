@@ -26,7 +26,7 @@ from terrane.llm import _words as words
 _BREAKS = np.ones(256, dtype=bool)
 _BREAKS[[0x20, 0x09, 0x0A, 0x0D]] = False
 #: Text (bytes) whose distinct words are encoded together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: These form a token run of their own after a letter or digit and combine with nothing.
 _TAIL = ".,;:!?|"
 
@@ -58,7 +58,7 @@ class Encoder:
     """Ids of texts, without begin, end or added special tokens; special strings in texts as the library's default has them."""
 
     #: Words whose ids are kept from slice to slice.
-    MOST_WORDS = 200_000
+    MOST_WORDS = 100_000
 
     def __init__(self, file: TokenizerFile):
         self.by_word = file.by_word
