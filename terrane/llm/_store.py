@@ -1,32 +1,13 @@
-"""Tables between jobs, in the folder that the whole cluster shares."""
+"""Tables between jobs, in the folder that the whole cluster shares; and a filter of fixed size before a shuffle."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.store import run_dir, stored
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="terrane-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests on one machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet in the shared folder and read them: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
+__all__ = ["among", "run_dir", "stored"]
 
 #: Bits of the bitmap of among(); its size bounds the broadcast at 2 MB.
 _BITS = 1 << 24

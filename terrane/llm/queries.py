@@ -53,7 +53,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call begins with an empty cache, so that its figures hold the whole work."""
-    cache = f"{_store.shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = f"{_store.run_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     counted = tokens.count_tokens(_read(spark, sf_dir, "documents"), tokens.word_bpe(), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
