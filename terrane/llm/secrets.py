@@ -6,6 +6,8 @@ token, random strings under two. Every run of `least_chars` is scored, with
 digits or without. Digests of known lengths and identifiers (plain words, UUIDs,
 dates, numbers, paths and compounds of words) are left out first, so a random
 string that has the shape of a word, such as letters in one case, is not found.
+Where base spans lie in a run, what they leave of it is judged by its own score
+if it is long enough, and by that of the whole run.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ class SecretRules:
     least_chars: int = 16
     #: Fewer characters a token than this marks a random string.
     chars_per_token: float = 2.1
+    #: A longer run is encoded in pieces of so many characters, so that its time grows with its length.
+    piece_chars: int = 4096
     #: Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
     digest_chars: tuple[int, ...] = (32, 40, 56, 64, 96, 128)
 
@@ -93,8 +97,41 @@ def _long_runs(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     return begin[wide], end[wide]
 
 
+def is_random(run: str, rules: SecretRules = SecretRules()) -> bool:
+    """Whether a run has fewer characters a token than the limit and is no known digest or identifier."""
+    if is_identifier(run, rules):
+        return False
+    encode = _encoding(rules.ranks_path, rules.pattern).encode_ordinary
+    tokens = sum(len(encode(run[k : k + rules.piece_chars])) for k in range(0, len(run), rules.piece_chars))
+    return len(run) < rules.chars_per_token * tokens
+
+
+def uncovered(start: int, stop: int, covers: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """What covers (disjoint, sorted) leave of start:stop, and the first cover that may reach beyond it; `at`: the first to look at."""
+    while at < len(covers) and covers[at][1] <= start:
+        at += 1
+    left, k = [], at
+    while start < stop:
+        low, high = covers[k] if k < len(covers) else (stop, stop)
+        if low > start:
+            left.append((start, min(low, stop)))
+        start = max(start, high if low < stop else stop)
+        k += 1
+    return left, at
+
+
+def _merged(spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for _, start, stop in spans:  # by start
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], stop))
+        else:
+            out.append((start, stop))
+    return out
+
+
 def scan(column: pa.Array, rules: SecretRules) -> list[list[tuple[str, int, int]]]:
-    """All spans of every text, in code points, by start, then kind as listed."""
+    """All spans of every text, in code points, by start, then kind as listed. One pass over each text."""
     data, offsets = words.raw(column)
     begin, end = _long_runs(data, offsets, rules.least_chars)
     of = np.searchsorted(offsets, begin, side="right") - 1
@@ -102,15 +139,25 @@ def scan(column: pa.Array, rules: SecretRules) -> list[list[tuple[str, int, int]
     out = []
     for k, text in enumerate(column.to_pylist()):
         spans = base_spans(text)
+        covers, at = _merged(spans), 0
+        byte, point = int(offsets[k]), 0
+        found = []
         for r in range(cuts[k], cuts[k + 1]):
+            start = point + int(np.count_nonzero((data[byte : begin[r]] & 0xC0) != 0x80))
             run = data[begin[r] : end[r]].tobytes().decode()
-            start = len(data[offsets[k] : begin[r]].tobytes().decode())
-            stop = start + len(run)
-            if any(a < stop and start < b for _, a, b in spans) or is_identifier(run, rules):
-                continue
-            if len(run) < rules.chars_per_token * len(_encoding(rules.ranks_path, rules.pattern).encode_ordinary(run)):
-                spans.append(("random", start, stop))
-        out.append(sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))))
+            byte, point = int(end[r]), start + len(run)
+            parts, at = uncovered(start, point, covers, at)
+            whole = None
+            for low, high in parts:
+                part = run[low - start : high - start]
+                if is_identifier(part, rules):
+                    continue
+                if len(part) < rules.least_chars or not is_random(part, rules):
+                    whole = is_random(run, rules) if whole is None else whole
+                    if not whole:
+                        continue
+                found.append(("random", low, high))
+        out.append(sorted(spans + found, key=lambda s: (s[1], KINDS.index(s[0]))))
     return out
 
 
@@ -119,8 +166,8 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = Secre
 
     One row out for each row in, repeated rows alike; a null or empty text has
     no spans. A column named secrets in the input is replaced. Base spans of
-    different kinds may overlap; a random string that overlaps a base span is
-    not named again. No shuffle.
+    different kinds may overlap; random strings are what base spans leave of a
+    run, so they overlap none. No shuffle.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c != "secrets"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("stop", pa.int64())]))

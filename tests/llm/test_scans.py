@@ -1,6 +1,8 @@
 """Quality rules, decontamination and secret scans against plain versions."""
 
 import random
+import re
+import time
 
 import pytest
 
@@ -116,3 +118,73 @@ def test_secrets_without_digits_and_short_ones(spark):
         assert got[k] == ([("random", 4, 4 + len(run))] if run in planted else []), run
     cut = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
     assert all(cut[k] == ("née [SECRET] x" if run in planted else f"née {run} x") for k, run in enumerate(planted + clean))
+
+
+def plain_spans(text, rules=secrets.SecretRules()):
+    """Spans of one text by the contract, place by place."""
+    text = text or ""
+    base = [("assign", *m.span()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    base += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    base += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    hidden = {k for _, a, b in base for k in range(a, b)}
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        parts, at = [], m.start()
+        while at < m.end():
+            stop = at
+            while stop < m.end() and (stop in hidden) == (at in hidden):
+                stop += 1
+            if at not in hidden:
+                parts.append((at, stop))
+            at = stop
+        for a, b in parts:
+            if not secrets.is_identifier(text[a:b], rules) and (b - a >= 16 and secrets.is_random(text[a:b], rules) or secrets.is_random(m[0], rules)):
+                found.append(("random", a, b))
+    return sorted(base + found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_secrets_against_a_plain_version(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    noise = lambda low, high, of=letters: "".join(rng.choices(of, k=rng.randrange(low, high)))
+    pieces = [
+        lambda: noise(1, 40), lambda: noise(8, 40, "0123456789abcdef"), lambda: "password=", lambda: "Secret: '", lambda: "api_key=" + noise(10, 30), lambda: "AKIA" + noise(8, 20, letters[:26]),
+        lambda: " ", lambda: " é ", lambda: "\n", lambda: "ordinary words", lambda: "someCamelCaseName", lambda: "/", lambda: "--", lambda: "=",
+    ]
+    texts = ["".join(rng.choice(pieces)() for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert got == {k: plain_spans(t) for k, t in rows}
+    assert sum(s[0] == "random" for own in got.values() for s in own) > 50
+
+
+def test_nothing_of_a_run_is_left_beside_a_base_span(spark):
+    text = "key Zk9Qx2Lm7Rt4Wv8Yp1Bn0123456789abcdefQz7Xw3Kd9Fs5Jh2Gv8Tc end"
+    got = secrets.find_secrets(frame(spark, [(1, text)])).first()
+    assert [tuple(s) for s in got.secrets] == [("random", 4, 24), ("hex", 24, 40), ("random", 40, 60)]
+    assert secrets.redact(frame(spark, [(1, text)])).first().text == "key [SECRET][SECRET][SECRET] end"
+
+
+def test_secrets_in_very_long_texts():
+    """Five million characters take seconds: time grows with the length."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    runs = "é ".join("Z9q" + "".join(rng.choices(letters, k=21)) for _ in range(100_000))
+    began = time.process_time()
+    found = secrets.scan(pa.array([runs, "".join(rng.choices(letters, k=2_500_000))], type=pa.large_string()), secrets.SecretRules())
+    assert len(found[0]) == 100_000 and found[1] == [("random", 0, 2_500_000)] and time.process_time() - began < 30
+
+
+def test_long_texts_through_quality_and_contamination(spark):
+    """A text of over a slice of bytes is one slice; its figures are those of the plain version."""
+    rng = random.Random(11)
+    long = " ".join(rng.choices([f"word{k}" for k in range(5000)], k=600_000))
+    assert len(long) > 4 << 20
+    item = "a passage that only the benchmark holds and that ends the long text"
+    got = quality.quality_rules(frame(spark, [(1, long)])).first()
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words, got.base_failed) == brute.quality(long)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = contamination.find_contamination(frame(spark, [(1, f"{long} {item}")]), bench, keep=["doc_id"]).first()
+    assert (got.n_words, got.n_hit, got["items"]) == (600_013, 13, ["7"])
