@@ -81,7 +81,7 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = "array_join(transform(masks, m -> concat_ws(':', m.begin, m.stop)), ',')"
     return dialogues.rotate(_read(spark, sf_dir, "conversations")).select(
-        "conv_id", "perspective", "part", "slot", "first_turn", "n_messages",
+        "conv_id", "perspective", "part", "first_turn", "n_messages",
         F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), F.expr(masks).alias("masks"),
     )
 

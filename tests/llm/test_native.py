@@ -1,6 +1,10 @@
 """URL filters and dialogues: DataFrame operations against hand-made cases."""
 
+import random
 import re
+from collections import defaultdict
+
+import pytest
 
 from terrane.llm import dialogues, urls
 
@@ -43,6 +47,38 @@ def test_hot_dialogue_is_cut_without_loss(spark):
         assert sorted(trained) == sorted(f"{b}<|im_end|>" for _, _, role, b in rows if role == who)
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_parts_joined_are_the_dialogue(spark, partitions):
+    """1,200 messages in one turn, 300 turns, a null turn, and a dialogue just at the limit: parts in order are the plain rendering."""
+    rng = random.Random(1)
+    rows = [(1, 3, f"s{rng.randrange(3)}", f"m{rng.random()} é") for _ in range(1200)] + [(1, 0, "system", "first"), (1, 9, "s1", "last")]
+    rows += [(2, t, f"s{t % 4}", f"turn {t} {k}") for t in range(300) for k in range(3)] + [(2, None, "s0", None), (None, 1, "s0", "x"), (None, 0, "s9", "y")]
+    rows += [(3, t, "ab"[t % 2], str(t)) for t in range(512)] + [(4, t, "ab"[t % 2], str(t)) for t in range(513)]
+    rows += rows[:50]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = dialogues.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    whole = defaultdict(list)
+    for row in sorted(set((c, t, r, b or "") for c, t, r, b in rows), key=lambda x: (x[1] is not None, x[1], x[2].encode(), x[3].encode())):
+        whole[row[0]].append(row[1:])
+    parts = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.part):
+        parts[r.conv_id, r.perspective].append(r)
+    assert set(parts) == {(c, role) for c, own in whole.items() for _, role, _ in own if role != "system"}
+    for (conv, who), own in parts.items():
+        text, masks = brute_dialogue(whole[conv], who)
+        assert [r.part for r in own] == list(range(-(-len(whole[conv]) // 512))) and "".join(r.text for r in own) == text
+        assert [r.n_messages for r in own[:-1]] == [512] * (len(own) - 1)
+        at, spans = 0, []
+        for r in own:
+            spans += [(at + a, at + b) for a, b in r.masks]
+            at += len(r.text)
+        assert spans == masks
+
+
 def test_rotation_empty(spark):
     assert dialogues.rotate(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
