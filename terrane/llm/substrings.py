@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from terrane.llm import _store
 from terrane.llm import _words as words
@@ -215,22 +216,31 @@ def hot_seeds(texts: DataFrame, rules: SubstringRules) -> tuple[np.ndarray, int]
     return np.array(sorted(hot), dtype=np.uint64), sums.get(-2, 0)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add _id: numbers in the order of doc_id, null for null. Distinct ids are range-partitioned and numbered in their partitions, with gaps between them."""
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ids = _store.stored(ids.withColumn("_id", F.monotonically_increasing_id()), "ids")
+    return rows.join(ids, "doc_id", "left")
+
+
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: SubstringRules = SubstringRules()) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of every row.
 
     A word goes if a window that covers it also starts earlier: in a document
     with a smaller id, or earlier in the same one; windows are judged on the
     input. A null or empty text has no words. A null id comes before all
-    others. Rows that share an id but not the text are ordered by a hash of the
-    text; fully repeated rows count as one document and get the same result.
+    others. Ids that are no whole numbers, such as strings, are numbered in
+    their order first. Rows that share an id but not the text are ordered by a
+    hash of the text; fully repeated rows count as one document and get the same
+    result.
     Texts shorter than a window lose nothing. Other columns are left out.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_id"),
-        F.coalesce(F.xxhash64(text), F.lit(0)).alias("_key"),
-        F.col(text).alias("_text"),
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    if not isinstance(docs.schema[doc_id].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        rows = numbered(rows)
+    else:
+        rows = rows.withColumn("_id", F.col("doc_id").cast("long"))
+    rows = rows.select("doc_id", F.coalesce("_id", F.lit(-(1 << 63))).alias("_id"), F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("_key"), "_text")
     hot, size = hot_seeds(rows.select("_text"), rules)
     spread = (rules.window - rules.seed + 2) / 2
     buckets = max(1, round(size * (spread + rules.window - 1) / spread / rules.bucket_bytes))
