@@ -1,19 +1,21 @@
 """Plane geometry on columns: rings of points, areas, containment, clipping against convex cells, projection, hexagons.
 
-A ring is array<struct<x,y>> without the repeated first point. All is built from
-array functions, so it runs in the JVM.
+A ring is array<struct<x,y>> without the repeated first point. A shape is an array
+of rings, the outer ones counter-clockwise and holes clockwise; multipolygons
+have several outer ones. All is built from array functions, so it runs in the JVM.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.cleaning import col
 
 RING = "array<struct<x:double,y:double>>"
+SHAPE = f"array<{RING}>"
 
 
 def ring(points: list[tuple[float, float]]) -> Column:
@@ -128,6 +130,88 @@ def clipped_area(subject: Column | str, convex: Column | str) -> Column:
     return F.coalesce(area(clip(subject, convex)), F.lit(0.0))
 
 
+def outward(r: Column | str) -> Column:
+    """The ring counter-clockwise."""
+    r = col(r)
+    return F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r)
+
+
+def shape(df: DataFrame, ring: str = "ring", rings: str = "rings") -> Column:
+    """The shape of a table's rows: its column of rings, or its one ring."""
+    return F.col(rings) if rings in df.columns else F.array(outward(ring))
+
+
+def shape_area(s: Column | str) -> Column:
+    return _sum(F.transform(col(s), signed_area))
+
+
+def shape_bounds(s: Column | str) -> tuple[Column, Column, Column, Column]:
+    return bounds(F.flatten(col(s)))
+
+
+def shape_centroid(s: Column | str) -> tuple[Column, Column]:
+    s = col(s)
+    cross = lambda a, b: a.x * b.y - b.x * a.y
+    six = F.nullif(6.0 * shape_area(s), F.lit(0.0))
+    x = _sum(F.transform(s, lambda r: _sum(F.zip_with(r, _rotated(r), lambda a, b: (a.x + b.x) * cross(a, b)))))
+    y = _sum(F.transform(s, lambda r: _sum(F.zip_with(r, _rotated(r), lambda a, b: (a.y + b.y) * cross(a, b)))))
+    return F.try_divide(x, six), F.try_divide(y, six)
+
+
+def _shape_odd(s: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule over all rings: holes are outside, and so are the doubled parts of a ring that crosses itself."""
+    return F.aggregate(F.transform(s, lambda r: _odd_crossings(r, x, y).cast("int")), F.lit(0), lambda n, c: n + c) % 2 == 1
+
+
+def shape_border(s: Column | str, x: Column, y: Column) -> Column:
+    return F.exists(col(s), lambda r: on_border(r, x, y))
+
+
+def shape_within(s: Column | str, x: Column, y: Column) -> Column:
+    """Strictly inside."""
+    return _shape_odd(col(s), x, y) & ~shape_border(s, x, y)
+
+
+def shape_covers(s: Column | str, x: Column, y: Column) -> Column:
+    """Inside or on a border."""
+    return _shape_odd(col(s), x, y) | shape_border(s, x, y)
+
+
+def shape_distance(s: Column | str, x: Column, y: Column) -> Column:
+    """To the nearest point of any border."""
+    return F.array_min(F.transform(col(s), lambda r: border_distance(r, x, y)))
+
+
+def shape_clipped_area(s: Column | str, convex: Column | str) -> Column:
+    """Surface of a shape inside a convex counter-clockwise ring; holes take theirs away."""
+    return F.coalesce(_sum(F.transform(col(s), lambda r: F.coalesce(signed_area(clip(r, convex)), F.lit(0.0)))), F.lit(0.0))
+
+
+def with_inner_point(df: DataFrame, s: Column | str, x: str = "x", y: str = "y") -> DataFrame:
+    """Add a point inside each shape: the middle of the widest part of a level line, half way between the corners next to the middle of its height.
+
+    NULL for a shape without surface. Each step is a column, so that none is computed twice.
+    """
+    df = df.withColumn("_shape", col(s)).withColumn("_heights", F.transform(F.flatten("_shape"), lambda p: p.y))
+    df = df.withColumn("_middle", (F.array_min("_heights") + F.array_max("_heights")) / 2)
+    below, above = F.array_max(F.filter("_heights", lambda h: h <= F.col("_middle"))), F.array_min(F.filter("_heights", lambda h: h > F.col("_middle")))
+    df = df.withColumn("_level", (below + above) / 2)
+    level = F.col("_level")
+
+    def meets(a, b):
+        return F.when((a.y > level) != (b.y > level), a.x + (level - a.y) / (b.y - a.y) * (b.x - a.x))
+
+    df = df.withColumn("_xs", F.array_sort(F.filter(F.flatten(F.transform("_shape", lambda r: F.zip_with(r, _rotated(r), meets))), lambda v: v.isNotNull())))
+    # the line enters and leaves by turns: of its widest parts the first
+    place = lambda k: F.get("_xs", k)
+    part = lambda k: F.struct((place(2 * k + 1) - place(2 * k)).alias("wide"), (-k).alias("k"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_xs") / 2).cast("int") - 1, F.lit(0))), part)
+    df = df.withColumn("_best", F.array_max(F.filter(parts, lambda p: p.wide > 0)))
+    at = -2 * F.col("_best.k")
+    df = df.withColumn(x, (place(at) + place(at + 1)) / 2).withColumn(y, F.when(F.col("_best").isNotNull(), level))
+    return df.drop("_shape", "_heights", "_middle", "_level", "_xs", "_best")
+
+
 def line_from_wkt(text: Column | str) -> Column:
     """Points of a LINESTRING."""
     inside = F.regexp_extract(col(text), r"\(\s*([^()]*?)\s*\)", 1)

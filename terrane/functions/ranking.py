@@ -7,7 +7,7 @@ before it; only one row for each partition meets in a single task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +30,42 @@ def running_total(df: DataFrame, order: Sequence[Column], values: dict[str, Colu
     return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in names}).select(*df.columns, *names)
 
 
+def average_ranks(df: DataFrame, ranks: Mapping[str, str], descending: bool = False) -> DataFrame:
+    """Add ranks (column: name) from 1, the mean of the places of equal values; NULL stays NULL.
+
+    The distinct values of all columns are counted and placed in one pass; ranks
+    come back by joins on the value, whose large keys Spark may deal out to
+    several tasks (the ranked values are a written table).
+    """
+    sign = -1 if descending else 1  # a descending order ranks the negated value, as partitions are dealt out by one direction
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("_m"), (sign * F.col(c)).cast("double").alias("_x")) for k, c in enumerate(ranks))))
+    counts = df.select(each.alias("_e")).select("_e.*").where("_x is not null").groupBy("_m", "_x").agg(F.count("*").alias("_tied"))
+    placed = running_total(counts, [F.col("_m"), F.col("_x")], {"_upto": F.col("_tied")})
+    sizes = placed.groupBy("_m").agg(F.sum("_tied").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each column
+    placed = placed.join(F.broadcast(sizes.select("_m", earlier.alias("_earlier"))), "_m")
+    placed = cut(placed.select("_m", "_x", (F.col("_upto") - F.col("_earlier") - (F.col("_tied") - 1) / 2).alias("_rank")))
+    for k, (value, out) in enumerate(ranks.items()):
+        own = placed.where(F.col("_m") == k).select(F.col("_x").alias("_key"), F.col("_rank").alias(out))
+        df = df.join(own, (sign * F.col(value)).cast("double") == F.col("_key"), "left").drop("_key")
+    return df
+
+
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = False) -> DataFrame:
-    """Add the rank from 1, the mean of the places of equal values; NULL stays NULL."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_ranked")).agg(F.count("*").alias("_tied"))
-    order = F.col("_ranked").desc() if descending else F.col("_ranked")
-    # a descending order ranks the negated value, as partitions are dealt out by one direction
-    key = -F.col("_ranked") if descending else order
-    placed = running_total(counts, [key], {"_upto": F.col("_tied")})
-    placed = placed.select("_ranked", (F.col("_upto") - (F.col("_tied") - 1) / 2).alias(out))
-    return df.join(placed, F.col(value) == F.col("_ranked"), "left").drop("_ranked")
+    """The same for one column."""
+    return average_ranks(df, {value: out}, descending)
+
+
+def percent_ranks(df: DataFrame, ranks: Mapping[str, str]) -> DataFrame:
+    """Add average ranks (column: name) over the number of values that are there."""
+    counts = df.agg(*(F.count(c) for c in ranks)).first()
+    ranked = average_ranks(df, ranks)
+    return ranked.withColumns({out: F.col(out) / float(n) for out, n in zip(ranks.values(), counts, strict=True) if n})
 
 
 def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the average rank over the number of values that are there."""
-    n = df.agg(F.count(value)).first()[0]
-    ranked = average_rank(df, value, out)
-    return ranked.withColumn(out, F.col(out) / float(n)) if n else ranked
+    """The same for one column."""
+    return percent_ranks(df, {value: out})
 
 
 def quantile_bucket(df: DataFrame, value: str, key: str, out: str, k: int = 4) -> DataFrame:

@@ -2,18 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.cleaning import col, ratio
-from terrane.functions.ranking import average_rank, running_total
+from terrane.functions.ranking import average_ranks, running_total
 
 
 def quantile(value: Column | str, q: float) -> Column:
-    """Aggregate: exact, linear between neighbours."""
+    """Aggregate: exact, linear between neighbours. It holds a group's distinct values in one buffer, so it is for groups that are known to be small; else quantiles()."""
     return F.percentile(col(value), F.lit(q))
 
 
+#: Relative rank error of the sketches that bracket a quantile.
+SKETCH = 10_000
+
+
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column | str, float]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, names): exact quantiles, linear between neighbours, of a row for each group (one row without `by`); NULL where there are no values.
+
+    A sketch of bounded size brackets each quantile. A second pass counts what
+    lies below and above, and the distinct values within the bracket, a few
+    ten-thousandths of all; only those are sorted. No task holds a column.
+    """
+    by, places = list(by), range(len(wanted))
+    base = df.select(*by, *(col(v).cast("double").alias(f"_x{k}") for k, (v, _) in enumerate(wanted.values())))
+    margin = 2.0 / SKETCH
+    near = base.groupBy(*by).agg(*(
+        F.percentile_approx(f"_x{k}", [max(q - margin, 0.0), min(q + margin, 1.0)], SKETCH).alias(f"_b{k}") for k, (_, q) in enumerate(wanted.values())
+    ))
+    joined = base.crossJoin(F.broadcast(near)) if not by else base.alias("x").join(near.alias("n"), [F.col(f"x.{c}").eqNullSafe(F.col(f"n.{c}")) for c in by]).select(*(f"x.{c}" for c in by), *(f"_{s}{k}" for s in "xb" for k in places))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("_m"), F.col(f"_x{k}").alias("_x"), F.col(f"_b{k}")[0].alias("_a"), F.col(f"_b{k}")[1].alias("_c")) for k in places)))
+    long = joined.select(*by, each.alias("_e")).select(*by, "_e.*").where("_x is not null")
+    zone = F.when(F.col("_x") < F.col("_a"), 0).when(F.col("_x") > F.col("_c"), 2).otherwise(1)
+    long = long.select(*by, "_m", "_x", zone.alias("_zone")).withColumn("_v", F.when(F.col("_zone") == 1, F.col("_x")))
+    counts = long.groupBy(*by, "_m", "_zone", "_v").agg(F.count("*").alias("_n"), F.max("_x").alias("_most"), F.min("_x").alias("_least"))
+    group = Window.partitionBy(*by, "_m")
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_zone", "_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumns({"_before": before, "_total": F.sum("_n").over(group)})
+    # of the values below the bracket only the greatest is known, of those above the least: a neighbour is never further out
+    value = F.when(F.col("_zone") == 0, F.col("_most")).otherwise(F.col("_least"))
+    last = F.col("_before") + F.col("_n") - 1
+    low, high = F.when(F.col("_zone") == 0, last).otherwise(F.col("_before")), F.when(F.col("_zone") == 2, F.col("_before")).otherwise(last)
+    picks = []
+    for k, (_, q) in enumerate(wanted.values()):
+        at = F.floor(F.lit(q) * (F.col("_total") - 1))
+        own = F.col("_m") == k
+        for n, place in enumerate((at, F.least(at + 1, F.col("_total") - 1))):
+            picks.append(F.max(F.when(own & place.between(low, high), value)).alias(f"_{'lh'[n]}{k}"))
+        picks.append(F.max(F.when(own, F.lit(q) * (F.col("_total") - 1) - at)).alias(f"_f{k}"))
+    found = placed.groupBy(*by).agg(*picks)
+    names = [(F.col(f"_l{k}") + F.col(f"_f{k}") * (F.col(f"_h{k}") - F.col(f"_l{k}"))).alias(n) for k, n in enumerate(wanted)]
+    return found.select(*by, *names)
+
+
+def quantile_values(df: DataFrame, wanted: Mapping[str, tuple[Column | str, float]]) -> tuple:
+    """The same over a whole table, as figures."""
+    return tuple(quantiles(df, wanted).first())
+
+
 def weighted_mean(value: Column | str, weight: Column | str | None = None) -> Column:
     """Aggregate over rows where both are there; NULL where weights sum to 0."""
     if weight is None:
@@ -28,17 +77,19 @@ def positive_weighted_mean(value: Column | str, weight: Column | str) -> Column:
     return ratio(F.sum(col(value) * some), F.sum(some))
 
 
-def score_stats(value: Column | str) -> list[Column]:
-    return [F.min(col(value)).alias("min"), quantile(value, 0.5).alias("median"), F.max(col(value)).alias("max"), F.avg(col(value)).alias("mean")]
+def score_stats(df: DataFrame, value: Column | str) -> DataFrame:
+    """One row: min, median, max, mean."""
+    sums = df.agg(F.min(col(value)).alias("min"), F.max(col(value)).alias("max"), F.avg(col(value)).alias("mean"))
+    return sums.crossJoin(F.broadcast(quantiles(df, {"median": (value, 0.5)}))).select("min", "median", "max", "mean")  # one row each
 
 
-def describe(value: Column | str) -> list[Column]:
-    """n, min, median, mean, max, sample deviation and quantiles."""
-    c = col(value)
-    return [
-        F.count(c).alias("n"), F.min(c).alias("min"), quantile(c, 0.5).alias("median"), F.avg(c).alias("mean"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"),
-        *(quantile(c, q / 100).alias(f"p{q}") for q in (10, 25, 75, 90)),
-    ]
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row per column: n, min, median, mean, max, sample deviation and quantiles."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.*")
+    sums = long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"), F.stddev_samp("x").alias("std"))
+    parts = {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    found = sums.join(quantiles(long, {n: ("x", q) for n, q in parts.items()}, ["column"]), "column", "left")
+    return found.select("column", "n", "min", "median", "mean", "max", "std", "p10", "p25", "p75", "p90")
 
 
 def _pairs(df: DataFrame, value: str, weight: str | None) -> DataFrame:
@@ -50,7 +101,7 @@ def _pairs(df: DataFrame, value: str, weight: str | None) -> DataFrame:
 def weighted_percentile(df: DataFrame, value: str, percent: float, weight: str | None = None) -> DataFrame:
     """One row: the least value up to which weights reach the share (a step function); without a weight, the linear quantile."""
     if weight is None:
-        return df.agg(quantile(value, percent / 100).alias("value"))
+        return quantiles(df, {"value": (value, percent / 100)})
     some = _pairs(df, value, weight)
     total = some.agg(F.sum("w")).first()[0]
     if not total or total <= 0:
@@ -84,7 +135,7 @@ def theil(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: Pearson of average ranks; each column is ranked over its own values, rows with both count."""
-    ranked = average_rank(average_rank(df.select(a, b), a, "_ra"), b, "_rb")
+    ranked = average_ranks(df.select(a, b), {a: "_ra", b: "_rb"})
     return ranked.where("_ra is not null and _rb is not null").agg(F.corr("_ra", "_rb").alias("value"))
 
 

@@ -121,21 +121,24 @@ def mobility_code(admin_code) -> Column:
     return F.substring(F.col(admin_code).cast("string"), 1, 7)
 
 
-def dissolve(areas: DataFrame, by: Column, key: str, names: Sequence[str]) -> DataFrame:
-    """One row per key: comma-joined distinct names, the parts' rings as one list, the first name's first word as district."""
-    return areas.groupBy(by.alias(key)).agg(
-        *(joined_names(n).alias(f"{n}s") for n in names), F.collect_list("ring").alias("rings"), F.count("*").alias("parts"),
-        F.min(F.split(F.col(names[-1]), " ")[0]).alias("district"),
-    )
+def dissolve(areas: DataFrame, by: Column, key: str, names: Sequence[str], tile: float = 5000.0) -> DataFrame:
+    """One row per key: comma-joined distinct names, number of parts, the first name's first word as district, surface of the parts' union.
+
+    The union itself is spatial.union_pieces(), a row for each tile.
+    """
+    from terrane.operators.spatial import union_pieces
+
+    keyed = areas.withColumn(key, by)
+    sums = keyed.groupBy(key).agg(*(joined_names(n).alias(f"{n}s") for n in names), F.count("*").alias("parts"), F.min(F.split(F.col(names[-1]), " ")[0]).alias("district"))
+    return sums.join(union_pieces(keyed, key, tile).groupBy(key).agg(F.sum("area").alias("area")), key, "left")
 
 
 def mobility_demand(spread: DataFrame) -> DataFrame:
     """Cells with net inflow, both norms (missing as 0) and their mean."""
-    from terrane.functions.scaling import scaled
+    from terrane.functions.scaling import scaled_all
 
     out = spread.withColumn("mobility_net_inflow", F.col("mobility_arrivals") - F.col("mobility_departures"))
-    out = scaled(out, "mobility_total_trips", "mobility_total_norm", missing_as_zero=True)
-    out = scaled(out, "mobility_peak_total_trips", "mobility_peak_norm", missing_as_zero=True)
+    out = scaled_all(out, {"mobility_total_norm": "mobility_total_trips", "mobility_peak_norm": "mobility_peak_total_trips"}, missing_as_zero=True)
     return out.withColumn("mobility_index", (F.col("mobility_total_norm") + F.col("mobility_peak_norm")) / 2)
 
 
@@ -257,11 +260,9 @@ def normalised_weather(rows: DataFrame, names: dict[str, str] = ASOS) -> DataFra
 def demand_index(cells: DataFrame, axes: dict[str, str], out: str) -> DataFrame:
     """Mean of min-max scaled axes (missing as 0): axes maps the name of each scaled column to its source."""
     from terrane.functions.cleaning import fill_numeric
-    from terrane.functions.scaling import scaled
+    from terrane.functions.scaling import scaled_all
 
-    cells = fill_numeric(cells)
-    for name, source in axes.items():
-        cells = scaled(cells, source, name, missing_as_zero=True)
+    cells = scaled_all(fill_numeric(cells), axes, missing_as_zero=True)
     return cells.withColumn(out, sum((F.col(n) for n in axes), F.lit(0.0)) / len(axes))
 
 

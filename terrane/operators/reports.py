@@ -48,21 +48,17 @@ def range_issues(df: DataFrame, ranges: Mapping[str, tuple[float | None, float |
 
 def stage_figures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column: n, sum, mean, min, max, 90th percentile, values that are not 0."""
-    row = df.agg(*(a.alias(f"{c}|{n}") for c in columns for n, a in (
-        ("n", F.count(c)), ("sum", F.sum(F.col(c).cast("double"))), ("mean", F.avg(c)), ("min", F.min(F.col(c).cast("double"))), ("max", F.max(F.col(c).cast("double"))),
-        ("p90", stats.quantile(F.col(c).cast("double"), 0.9)), ("nonzero", F.count_if(F.col(c) != 0)),
-    )))
-    names = ("n", "sum", "mean", "min", "max", "p90", "nonzero")
-    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"`{c}|{n}`").alias(n) for n in names)) for c in columns))).alias("r")).select("r.*")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.*")
+    sums = long.groupBy("column").agg(
+        F.count("x").alias("n"), F.sum("x").alias("sum"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.count_if(F.col("x") != 0).alias("nonzero")
+    )
+    found = sums.join(stats.quantiles(long, {"p90": ("x", 0.9)}, ["column"]), "column", "left")
+    return found.select("column", "n", "sum", "mean", "min", "max", "p90", "nonzero")
 
 
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column with the figures of stats.describe()."""
-    parts = [df.agg(F.lit(c).alias("column"), *stats.describe(F.col(c).cast("double"))) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return stats.describe(df, columns)
 
 
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,10 +95,28 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def table_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row: SHA-256 of row count, sum and xor of row hashes; the same for any order of rows and partitions."""
-    h = F.xxhash64(*(F.col(c) for c in (columns or sorted(df.columns))))
-    row = df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit((1 << 31) - 1))).alias("s"))
-    return row.select(F.sha2(F.concat_ws("|", "n", "x", "s"), 256).alias("table_hash"))
+    """One row: SHA-256 of row count, and of sum and xor of parts of the rows' SHA-256; the same for any order of rows and partitions.
+
+    A row's text is its values, NULL as a mark of its own, joined by the unit separator.
+    """
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (columns or sorted(df.columns))]
+    row = F.sha2(F.concat_ws("\x1f", *values), 256)
+    part = lambda at: F.conv(F.substring(row, at, 15), 16, 10).cast("long")
+    sums = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(part(1)), F.lit(0)).alias("x"), F.coalesce(F.sum(part(16).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias("s"))
+    return sums.select(F.sha2(F.concat_ws("|", "n", "x", "s"), 256).alias("table_hash"))
+
+
+def upper_bound(df: DataFrame, column: str, q: float = 0.995) -> DataFrame:
+    """One row: the quantile up to which a figure's axis goes."""
+    return stats.quantiles(df, {"bound": (column, q)})
+
+
+def sorted_bars(df: DataFrame, group: str, value: str, top: int | None = None) -> DataFrame:
+    """Sums by group, the largest first (ties by name), with their place; a limit makes it a top-k report."""
+    sums = df.groupBy(group).agg(F.sum(value).alias("total"))
+    out = sums.orderBy(F.desc_nulls_last("total"), group)
+    out = out if top is None else out.limit(top)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("total"), group)))  # a row for each group
 
 
 def heat_table(df: DataFrame, rows: str, columns: str, values: Sequence[int], flag: str) -> DataFrame:

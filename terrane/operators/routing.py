@@ -92,6 +92,28 @@ def reach_shrink(edges: DataFrame, sources: DataFrame, budget: float = 400.0, fl
     return both.withColumn("shrink", F.col("n_hard") / F.col("n_flat"))
 
 
+def leading_stop(shrink: DataFrame, steepness: DataFrame, least_flat: int = 120, steepest: int = 250) -> DataFrame:
+    """One row: of the steepest sources (a top-k report, ties by id) that reach enough nodes on the flat the one whose reach shrinks most."""
+    steep = steepness.select(F.col("node").alias("source"), F.coalesce("steepness", F.lit(0.0)).alias("steepness"))
+    first = shrink.join(steep, "source", "left").fillna(0.0, subset=["steepness"]).orderBy(F.desc("steepness"), "source").limit(steepest)
+    return first.where(F.col("n_flat") >= least_flat).orderBy("shrink", F.desc("steepness"), "source").limit(1)
+
+
+def reach_gaps(nodes: DataFrame, edges: DataFrame, sources: DataFrame, budget: float = 400.0, flat: str = "cost_m0", hard: str = "cost_m3") -> DataFrame:
+    """(source, node, gap) for the nodes (node_id, x, y) within the budget as the crow flies: "detour" if streets are too long, "slope" if only the harder cost is, else "reached".
+
+    The walkshed's parts as sets of nodes: circle without flat reach, flat reach without hard reach.
+    """
+    from terrane.operators.spatial import within_distance
+
+    starts = sources.select(F.col("node").cast("long").alias("source")).distinct().join(nodes.select(F.col("node_id").alias("source"), "x", "y"), "source")
+    circle = within_distance(starts, nodes.select(F.col("node_id").alias("node"), "x", "y"), budget).select("source", "node")
+    reached = lambda w, name: reach_within(edges, sources, w, budget).select("source", "node", F.lit(True).alias(name))
+    both = circle.join(reached(flat, "_flat"), ["source", "node"], "left").join(reached(hard, "_hard"), ["source", "node"], "left")
+    gap = F.when(F.col("_hard").isNotNull(), "reached").when(F.col("_flat").isNotNull(), "slope").otherwise("detour")
+    return both.select("source", "node", gap.alias("gap"))
+
+
 def cell_access(cells: DataFrame, origins: DataFrame, costs: DataFrame, weights: Sequence[str]) -> DataFrame:
     """Cells with access_<weight> of their origin node and <weight>_reachable; cells without a node stay, with NULL.
 

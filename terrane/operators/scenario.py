@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import stats
 from terrane.functions.cleaning import ratio
-from terrane.functions.ranking import average_rank
+from terrane.functions.ranking import average_ranks
 from terrane.functions.scaling import Fitted
 from terrane.operators import routing
 
@@ -24,8 +24,8 @@ class FrozenBaseline:
 
     @classmethod
     def fit(cls, cells: DataFrame, cost: str, demand: str, q: float = 0.8) -> FrozenBaseline:
-        a, b = Fitted.of(cells, cost), Fitted.of(cells, demand)
-        limit = cells.agg(stats.quantile(a.apply(cost) * b.apply(demand), q)).first()[0]
+        a, b = Fitted.of_all(cells, cost, demand)
+        (limit,) = stats.quantile_values(cells, {"limit": (a.apply(cost) * b.apply(demand), q)})
         return cls(a, b, limit)
 
     def vulnerability(self, cost: Column | str, demand: Column | str) -> Column:
@@ -45,8 +45,7 @@ def compare(cells: DataFrame, baseline: FrozenBaseline, base: str, scenario: str
         baseline.vulnerability(base, demand).alias("baseline_vulnerability"), baseline.vulnerability(scenario, need).alias("scenario_vulnerability"),
         baseline.vulnerable(base, demand).alias("baseline_vulnerable"), baseline.vulnerable(scenario, need).alias("scenario_vulnerable"), near.alias("official_400m_ok"),
     )
-    out = average_rank(out, "baseline_vulnerability", "baseline_rank_worst_1", descending=True)
-    out = average_rank(out, "scenario_vulnerability", "scenario_rank_worst_1", descending=True)
+    out = average_ranks(out, {"baseline_vulnerability": "baseline_rank_worst_1", "scenario_vulnerability": "scenario_rank_worst_1"}, descending=True)
     was, now, near = F.col("baseline_vulnerable"), F.col("scenario_vulnerable"), F.col("official_400m_ok")
     return out.withColumns({
         "delta_vulnerability": F.col("baseline_vulnerability") - F.col("scenario_vulnerability"),
@@ -61,12 +60,13 @@ def summarise(rows: DataFrame, weight: str | None = None) -> DataFrame:
     flags = ("baseline_vulnerable", "scenario_vulnerable", "resolved_vulnerable", "new_vulnerable", "baseline_hidden", "scenario_hidden", "resolved_hidden", "new_hidden")
     deltas = ("delta_cost", "delta_cost_pct", "delta_vulnerability", "delta_rank_improvement")
     weighted = [stats.positive_weighted_mean(c, weight).alias(f"weighted_{c}") for c in deltas[:2]] if weight else []
-    return rows.agg(
+    sums = rows.agg(
         F.count("*").alias("hex_count"), *(F.count_if(f).alias(f"{f}_count") for f in flags), *(F.avg(c).alias(f"mean_{c}") for c in deltas),
-        *(stats.quantile(c, 0.5).alias(f"median_{c}") for c in deltas[:2]), *(stats.quantile(c, 0.9).alias(f"p90_{c}") for c in deltas[:2]),
         F.count_if(F.abs("delta_cost") > 1e-9).alias("changed_cost_count"), F.count_if(F.abs("delta_vulnerability") > 1e-12).alias("changed_vulnerability_count"), *weighted,
         F.coalesce(F.max(F.abs("delta_cost")) <= 1e-9, F.lit(True)).alias("is_no_op"),
     )
+    parts = stats.quantiles(rows, {f"{n}_{c}": (c, q) for n, q in (("median", 0.5), ("p90", 0.9)) for c in deltas[:2]})
+    return sums.crossJoin(F.broadcast(parts))  # one row each
 
 
 def evaluate(cells: DataFrame, baseline: FrozenBaseline, base: str, scenario: str, demand: str, population: str, senior: str | None = None, name: str = "scenario", scenario_demand: str | None = None) -> dict[str, float | int | str | None]:
@@ -113,7 +113,8 @@ def weather_off(access: DataFrame, edges: DataFrame, destinations: DataFrame, no
 
 def inferred_intensity(access: DataFrame, beta_weather: float = 0.03) -> DataFrame:
     """One row: the weather that the medians of m2 / m1 tell of."""
-    return access.agg(((stats.quantile(ratio("access_cost_m2", "access_cost_m1"), 0.5) - 1) / beta_weather).alias("intensity"))
+    median = stats.quantiles(access, {"median": (ratio("access_cost_m2", "access_cost_m1"), 0.5)})
+    return median.select(((F.col("median") - 1) / beta_weather).alias("intensity"))
 
 
 def registry(runs: DataFrame) -> DataFrame:

@@ -4,29 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import senior, stats
 from terrane.functions.cleaning import ratio
-from terrane.functions.ranking import average_rank, percent_rank, quantile_bucket
-from terrane.functions.scaling import scaled, top_share, winsorised
+from terrane.functions.ranking import average_ranks, percent_ranks, quantile_bucket
+from terrane.functions.scaling import scaled_all
 from terrane.operators import routing
 from terrane.operators.scenario import FrozenBaseline
 
 
 def variant_flags(cells: DataFrame, by: str, cost: str, demand: str, m0: str = "access_cost_m0", q: float = 0.8, official_m: float = 400.0) -> DataFrame:
     """Cells of all variants at once, each scaled and cut by its own limits: score, vulnerable, hidden."""
-    own = Window.partitionBy(by)
     valid = F.col(cost).isNotNull() & F.col(demand).isNotNull()
     limits = cells.where(valid).groupBy(by).agg(F.min(cost).alias("_c0"), F.max(cost).alias("_c1"), F.min(demand).alias("_d0"), F.max(demand).alias("_d1"))
-    del own
-    # a variant has one row of limits, so the joins are broadcast
-    out = cells.join(F.broadcast(limits), by, "left")
+    # a row of limits for each variant: small enough, Spark broadcasts them
+    out = cells.join(limits, by, "left")
     part = lambda x, a, b: ratio(F.col(x) - F.col(a), F.col(b) - F.col(a))
     out = out.withColumn("score", F.when(valid, part(cost, "_c0", "_c1") * part(demand, "_d0", "_d1"))).drop("_c0", "_c1", "_d0", "_d1")
-    cuts = out.groupBy(by).agg(stats.quantile("score", q).alias("threshold"))
-    out = out.join(F.broadcast(cuts), by, "left").withColumn("vulnerable", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
+    out = out.join(stats.quantiles(out, {"threshold": ("score", q)}, [by]), by, "left").withColumn("vulnerable", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)))
     return out.withColumn("hidden", F.col("vulnerable") & F.coalesce(F.col(m0) <= official_m, F.lit(False)))
 
 
@@ -44,18 +41,17 @@ NORMALISATIONS = ("base", "winsor", "log1p", "rank", "additive")
 
 def normalised_variants(cells: DataFrame, cost: str, demand: str, share: float = 0.2, key: str = "hex_id") -> DataFrame:
     """Cells with score_<variant> and top_<variant>: min-max, after winsorising, after log1p, percent ranks, and the mean instead of the product."""
-    out = cells
-    for c, name in ((cost, "c"), (demand, "d")):
-        out = scaled(out, c, f"_base_{name}", constant=None)
-        out = scaled(winsorised(out, c, "_w"), "_w", f"_winsor_{name}", constant=None).drop("_w")
-        out = scaled(out.withColumn("_l", F.log1p(F.col(c))), "_l", f"_log1p_{name}", constant=None).drop("_l")
-        out = percent_rank(out, c, f"_rank_{name}")
+    limits = stats.quantile_values(cells, {f"{c}{q}": (c, q) for c in (cost, demand) for q in (0.01, 0.99)})
+    held = lambda c, low, high: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high)))
+    sources = {}
+    for k, (c, name) in enumerate(((cost, "c"), (demand, "d"))):
+        sources |= {f"_base_{name}": F.col(c), f"_winsor_{name}": held(c, *limits[2 * k : 2 * k + 2]), f"_log1p_{name}": F.log1p(F.col(c))}
+    out = percent_ranks(scaled_all(cells, sources, constant=None), {cost: "_rank_c", demand: "_rank_d"})
     for v in NORMALISATIONS[:4]:
         out = out.withColumn(f"score_{v}", F.col(f"_{v}_c") * F.col(f"_{v}_d")).drop(*(() if v == "base" else (f"_{v}_c", f"_{v}_d")))
     out = out.withColumn("score_additive", (F.col("_base_c") + F.col("_base_d")) / 2).drop("_base_c", "_base_d")
-    for v in NORMALISATIONS:
-        out = top_share(out, f"score_{v}", f"top_{v}", share)
-    return out
+    tops = stats.quantile_values(out, {v: (f"score_{v}", 1 - share) for v in NORMALISATIONS})
+    return out.withColumns({f"top_{v}": F.coalesce(F.col(f"score_{v}") >= F.lit(x), F.lit(False)) for v, x in zip(NORMALISATIONS, tops, strict=True)})
 
 
 def robust_core(flags: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -72,9 +68,9 @@ def core_over(rows: DataFrame, key: str, flag: str) -> DataFrame:
 
 def burden_by_area(cells: DataFrame, area: str, increase: str, flags: Sequence[str]) -> DataFrame:
     """Areas with counts, flags, mean and 90th percentile, the heaviest first; cells without an area don't count."""
-    return cells.where(F.col(area).isNotNull()).groupBy(area).agg(
-        F.count("*").alias("hex_count"), *(F.count_if(f).alias(f"{f}_count") for f in flags), F.avg(increase).alias("mean_increase"), stats.quantile(increase, 0.9).alias("p90_increase")
-    ).orderBy(*(F.desc(f"{f}_count") for f in flags[:2]), F.desc("mean_increase"), area)
+    some = cells.where(F.col(area).isNotNull())
+    sums = some.groupBy(area).agg(F.count("*").alias("hex_count"), *(F.count_if(f).alias(f"{f}_count") for f in flags), F.avg(increase).alias("mean_increase"))
+    return sums.join(stats.quantiles(some, {"p90_increase": (increase, 0.9)}, [area]), area, "left").orderBy(*(F.desc(f"{f}_count") for f in flags[:2]), F.desc("mean_increase"), area)
 
 
 def quadrants(cells: DataFrame, x: str, y: str, flag: str, key: str = "hex_id", k: int = 4) -> DataFrame:
@@ -96,7 +92,7 @@ def environment_burden(cells: DataFrame, demand: str, m0: str = "access_cost_m0"
         "increase": b - a, "increase_pct": 100 * ratio(b - a, a), "score_m0": frozen.vulnerability(m0, demand), "score_m3": frozen.vulnerability(m3, demand),
         "vulnerable_m0": frozen.vulnerable(m0, demand), "vulnerable_m3": frozen.vulnerable(m3, demand),
     })
-    out = average_rank(average_rank(out, "score_m0", "rank_m0", descending=True), "score_m3", "rank_m3", descending=True)
+    out = average_ranks(out, {"score_m0": "rank_m0", "score_m3": "rank_m3"}, descending=True)
     crossed = F.coalesce((a <= official_m) & (b > official_m), F.lit(False))
     new = F.col("vulnerable_m3") & ~F.col("vulnerable_m0")
     hidden = F.coalesce(F.col(hidden_flag), F.lit(False)) if hidden_flag in cells.columns else F.lit(False)
@@ -151,9 +147,7 @@ def parameter_scan(cells: DataFrame, scale: DataFrame, demand: str) -> DataFrame
 
 def weather_response(cells: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Cells with response_score: weighted sum of percent ranks of the named columns."""
-    out = cells
-    for k, name in enumerate(weights):
-        out = percent_rank(out, name, f"_p{k}")
+    out = percent_ranks(cells, {name: f"_p{k}" for k, name in enumerate(weights)})
     return out.withColumn("response_score", sum((F.col(f"_p{k}") * w for k, w in enumerate(weights.values())), F.lit(0.0))).drop(*(f"_p{k}" for k in range(len(weights))))
 
 
@@ -208,6 +202,14 @@ def reason_label(reason: Column | str) -> Column:
     return label
 
 
+def merged_policies(cells: DataFrame, flags: dict[str, tuple[DataFrame, str]], key: str = "hex_id") -> DataFrame:
+    """All cells with a column for each flag (name: table and its column); cells that a table lacks are not flagged. Tables have a row for a cell at most."""
+    out = cells
+    for name, (rows, column) in flags.items():
+        out = out.join(rows.select(key, F.col(column).alias(name)), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    return out
+
+
 def policy_candidates(cells: DataFrame) -> DataFrame:
     """Cells that any policy flag marks, with the label of the first."""
     flags = {name: F.coalesce(F.col(flag), F.lit(False)) for flag, name in POLICIES.items()}
@@ -228,8 +230,7 @@ def weather_candidates(cells: DataFrame, top: int | None = None) -> DataFrame:
     slope, weather, both = F.col("slope_increment_m1_m0"), F.col("weather_additive_increment_m2_m1"), F.col("interaction_increment_m3_m2")
     pressures = {"snow_ice_pressure": slope + both, "anti_slip_pressure": 0.7 * slope + 1.3 * both, "drainage_pressure": 0.85 * weather + 0.35 * both}
     out = cells.withColumns({"weather_effect": weather + both, **pressures})
-    for name in (*pressures, "weather_effect"):
-        out = percent_rank(out, name, f"{name}_pct")
+    out = percent_ranks(out, {name: f"{name}_pct" for name in (*pressures, "weather_effect")})
     snow, slip, water, effect = (F.col(f"{n}_pct") for n in ("snow_ice_pressure", "anti_slip_pressure", "drainage_pressure", "weather_effect"))
     tests = {
         "제설 우선순위": (snow >= 0.75) | ((F.col("slope_increment_share") >= 0.65) & (effect >= 0.6)),

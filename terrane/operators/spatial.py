@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as g
+from terrane.functions.store import cut
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -21,10 +22,11 @@ def _around(value: Column, size: float) -> Column:
 def snap(points: DataFrame, nodes: DataFrame, keys: Sequence[str], most: float = 100.0, unique: bool = False) -> DataFrame:
     """Nearest node (node_id, x, y) of each point (keys, x, y) within a distance, included: keys, node_id, distance; NULL beyond.
 
-    Equally near nodes give a row each, or the least id alone if unique.
+    Equally near nodes give a row each, or the least id alone if unique. Nodes,
+    which are fewer than what is snapped to them, stand in nine grid cells each.
     """
-    near = nodes.select("node_id", F.col("x").alias("_nx"), F.col("y").alias("_ny"), _cell(F.col("x"), most).alias("_cx"), _cell(F.col("y"), most).alias("_cy"))
-    asked = points.withColumn("_cx", _around(F.col("x"), most)).withColumn("_cy", _around(F.col("y"), most))
+    near = nodes.select("node_id", F.col("x").alias("_nx"), F.col("y").alias("_ny"), _around(F.col("x"), most).alias("_cx"), "y").withColumn("_cy", _around(F.col("y"), most)).drop("y")
+    asked = points.where("x is not null and y is not null").withColumn("_cx", _cell(F.col("x"), most)).withColumn("_cy", _cell(F.col("y"), most))
     found = asked.join(near, ["_cx", "_cy"]).withColumn("distance", F.hypot(F.col("_nx") - F.col("x"), F.col("_ny") - F.col("y"))).where(F.col("distance") <= most)
     if unique:
         best = found.groupBy(*keys).agg(F.min(F.struct("distance", "node_id")).alias("b")).select(*keys, "b.node_id", "b.distance")
@@ -37,32 +39,75 @@ def snap(points: DataFrame, nodes: DataFrame, keys: Sequence[str], most: float =
 def nearest(points: DataFrame, targets: DataFrame, key: str, target: str, step: float) -> DataFrame:
     """Nearest target (id, x, y) of every point, however far: key, target, distance (ties: the least id).
 
-    Rings grow: points without a sure answer are asked again with cells twice as
-    wide, until a target within a cell's width is found. The last ones, outside
-    the extent of all targets, are found once cells are as wide as everything.
+    Points with a target within `step` are found in their grid cells. The others
+    go down a pyramid of target cells, each half as wide as its parent: at each
+    level a point keeps the cells whose box is no further than the nearest
+    target that it has seen. Cells are split until none holds many targets, so
+    no join multiplies far points by all targets. Every level is written.
     """
-    box = points.select("x", "y").union(targets.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is None or targets.isEmpty():
-        return points.select(key).withColumn(target, F.lit(None).cast("string")).withColumn("distance", F.lit(None).cast("double"))
-    widest = max(box[1] - box[0], box[3] - box[2], step)
-    out, open_, size = None, points.select(key, "x", "y").where("x is not null and y is not null"), step
-    while True:
-        found = snap(open_, targets.withColumnRenamed(target, "node_id"), [key], size, unique=True)
-        done = found.where("node_id is not null").select(key, F.col("node_id").alias(target), "distance")
-        out = done if out is None else out.union(done)
-        if size >= 2 * widest:
-            return out
-        open_ = open_.join(done.select(key), key, "left_anti")
-        size *= 4
+    asked = cut(points.select(key, "x", "y").where("x is not null and y is not null"))
+    # of targets at one place the least id is enough
+    goals = cut(targets.where("x is not null and y is not null").groupBy(F.col("x").alias("_tx"), F.col("y").alias("_ty")).agg(F.min(target).alias(target)))
+    box = goals.agg(F.min("_tx"), F.min("_ty"), F.max("_tx"), F.max("_ty")).first()
+    if box[0] is None:
+        return points.select(key).withColumn(target, F.lit(None).cast(targets.schema[target].dataType)).withColumn("distance", F.lit(None).cast("double"))
+    near = cut(snap(asked, goals.select(F.col(target).alias("node_id"), F.col("_tx").alias("x"), F.col("_ty").alias("y")), [key], step, unique=True))
+    done = near.where("node_id is not null").select(key, F.col("node_id").alias(target), "distance")
+    far = asked.join(near.where("node_id is null").select(key), key, "left_semi")
+    return done.union(_down_the_pyramid(far, goals, key, target, box, step))
+
+
+#: Targets of a cell at the foot of the pyramid, unless cells of a thousandth of the step still hold more.
+_FOOT_TARGETS = 64
+
+
+def _down_the_pyramid(asked: DataFrame, goals: DataFrame, key: str, target: str, box: tuple, step: float) -> DataFrame:
+    west, south, east, north = box
+    wide = max(east - west, north - south, step)
+    foot = 0
+    while True:  # the foot's cells, counted by halving until they are small
+        size = wide / 2**foot
+        place = [F.least(F.floor((F.col(c) - low) / size), F.lit(2**foot - 1)) for c, low in (("_tx", west), ("_ty", south))]  # the outermost are in the last cell
+        cells = goals.groupBy(place[0].alias("_cx"), place[1].alias("_cy"))
+        most = cells.agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most <= _FOOT_TARGETS or size <= step / 1000:
+            break
+        foot += 2
+    corners = [F.min("_tx").alias("_w"), F.min("_ty").alias("_s"), F.max("_tx").alias("_e"), F.max("_ty").alias("_n"), F.min(F.struct("_tx", "_ty")).alias("_one")]
+    leaves = cut(cells.agg(*corners))
+    x, y = F.col("x"), F.col("y")
+    open_ = asked.withColumns({"_cx": F.lit(0).cast("long"), "_cy": F.lit(0).cast("long")})
+    lower = F.hypot(F.greatest(F.col("_w") - x, x - F.col("_e"), F.lit(0.0)), F.greatest(F.col("_s") - y, y - F.col("_n"), F.lit(0.0)))
+    upper = F.hypot(F.col("_one._tx") - x, F.col("_one._ty") - y)
+    for level in range(1, foot + 1):
+        up = foot - level
+        child = leaves.groupBy(F.shiftright("_cx", up).alias("_x"), F.shiftright("_cy", up).alias("_y")).agg(
+            F.min("_w").alias("_w"), F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_n").alias("_n"), F.min("_one").alias("_one")
+        ).withColumns({"_cx": F.shiftright("_x", 1), "_cy": F.shiftright("_y", 1)})
+        seen = open_.join(child, ["_cx", "_cy"]).select(key, "x", "y", F.col("_x").alias("_cx"), F.col("_y").alias("_cy"), lower.alias("_lower"), upper.alias("_upper"))
+        best = F.min("_upper").over(Window.partitionBy(key))
+        open_ = cut(seen.withColumn("_best", best).where(F.col("_lower") <= F.col("_best") * (1 + 1e-12)).select(key, "x", "y", "_cx", "_cy"))
+    there = goals.withColumns({"_cx": place[0], "_cy": place[1]})
+    met = open_.join(there, ["_cx", "_cy"]).withColumn("distance", F.hypot(F.col("_tx") - x, F.col("_ty") - y))
+    return met.groupBy(key).agg(F.min(F.struct("distance", target)).alias("b")).select(key, f"b.{target}", "b.distance")
+
+
+def within_distance(a: DataFrame, b: DataFrame, most: float) -> DataFrame:
+    """All pairs of rows of a and b (x, y each) no further apart than `most`, with their distance; coordinates are dropped."""
+    there = b.withColumnsRenamed({"x": "_bx", "y": "_by"}).withColumn("_cx", _around(F.col("_bx"), most)).withColumn("_cy", _around(F.col("_by"), most))
+    asked = a.where("x is not null and y is not null").withColumn("_cx", _cell(F.col("x"), most)).withColumn("_cy", _cell(F.col("y"), most))
+    met = asked.join(there, ["_cx", "_cy"]).withColumn("distance", F.hypot(F.col("_bx") - F.col("x"), F.col("_by") - F.col("y")))
+    return met.where(F.col("distance") <= most).drop("_cx", "_cy", "_bx", "_by", "x", "y")
 
 
 def containing(points: DataFrame, areas: DataFrame, size: float, predicate: str = "within") -> DataFrame:
-    """Pairs of points (x, y) and areas (ring) by within (border outside) or covers (border inside), by way of grid cells that areas touch."""
-    west, south, east, north = g.bounds("ring")
+    """Pairs of points (x, y) and areas (ring, or rings with holes) by within (border outside) or covers (border inside), by way of grid cells that areas touch."""
+    areas = areas.withColumn("_shape", g.shape(areas))
+    west, south, east, north = g.shape_bounds("_shape")
     tiles = areas.withColumn("_cx", F.explode(F.sequence(_cell(west, size), _cell(east, size)))).withColumn("_cy", F.explode(F.sequence(_cell(south, size), _cell(north, size))))
     asked = points.where("x is not null and y is not null").withColumn("_cx", _cell(F.col("x"), size)).withColumn("_cy", _cell(F.col("y"), size))
-    test = {"within": g.within, "covers": g.covers}[predicate]
-    return asked.join(tiles, ["_cx", "_cy"]).where(test("ring", F.col("x"), F.col("y"))).drop("_cx", "_cy")
+    test = {"within": g.shape_within, "covers": g.shape_covers}[predicate]
+    return asked.join(tiles, ["_cx", "_cy"]).where(test("_shape", F.col("x"), F.col("y"))).drop("_cx", "_cy", "_shape")
 
 
 def count_points(cells: DataFrame, sources: dict[str, DataFrame], size: float) -> DataFrame:
@@ -76,49 +121,60 @@ def count_points(cells: DataFrame, sources: dict[str, DataFrame], size: float) -
     return out.withColumn("poi_total_count", sum((F.col(c) for c in counts), F.lit(0)).cast("long"))
 
 
-def label(cells: DataFrame, areas: DataFrame, names: Sequence[str], size: float, key: str = "hex_id") -> DataFrame:
-    """Cells (key, ring) with the names of the area that holds their centroid (of several the least names); NULL outside all."""
+def label(cells: DataFrame, areas: DataFrame, names: Sequence[str], size: float, key: str = "hex_id", point: str = "centroid") -> DataFrame:
+    """Cells (key, ring or rings) with the names of the area that holds their centroid, or a point inside them ("inner"); of several the least names; NULL outside all."""
     if not names:
         return cells
-    x, y = g.centroid("ring")
-    found = containing(cells.select(key, x.alias("x"), y.alias("y")), areas.select(*names, "ring"), size, "covers")
+    if point == "inner":
+        placed = cut(g.with_inner_point(cells, g.shape(cells)).select(key, "x", "y"))  # else a filter on x would be pushed through all its steps
+    else:
+        x, y = g.shape_centroid(g.shape(cells))
+        placed = cells.select(key, x.alias("x"), y.alias("y"))
+    shapes = [c for c in ("ring", "rings") if c in areas.columns]
+    found = containing(placed, areas.select(*names, *shapes), size, "covers")
     first = found.groupBy(key).agg(F.min(F.struct(*names)).alias("_a")).select(key, "_a.*")
     return cells.drop(*names).join(first, key, "left")
 
 
-def split_by_boundary(points: DataFrame, boundary: DataFrame, buffer: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Points inside (or on, or within a buffer of) any ring, and the others. The boundary is a few rings that the caller states."""
-    rings = boundary.agg(F.collect_list("ring").alias("_rings"))
+def split_by_boundary(points: DataFrame, boundary: DataFrame, buffer: float = 0.0, size: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """Points inside (or on, or within a buffer of) any area of a boundary, and the others; areas meet points in the grid cells that they, widened by the buffer, touch."""
+    areas = boundary.select(g.shape(boundary).alias("_shape"))
+    west, south, east, north = g.shape_bounds("_shape")
+    tiles = areas.withColumn("_cx", F.explode(F.sequence(_cell(west - buffer, size), _cell(east + buffer, size))))
+    tiles = tiles.withColumn("_cy", F.explode(F.sequence(_cell(south - buffer, size), _cell(north + buffer, size))))
     x, y = F.col("x"), F.col("y")
-    hit = F.exists("_rings", lambda r: g.covers(r, x, y) | (F.lit(buffer > 0) & (g.border_distance(r, x, y) <= buffer)))
-    flagged = points.crossJoin(F.broadcast(rings)).withColumn("_in", F.coalesce(hit, F.lit(False))).drop("_rings")
-    return flagged.where("_in").drop("_in"), flagged.where("not _in").drop("_in")
+    marked = cut(points.withColumn("_row", F.monotonically_increasing_id()))
+    asked = marked.where("x is not null and y is not null").withColumn("_cx", _cell(x, size)).withColumn("_cy", _cell(y, size))
+    hit = g.shape_covers("_shape", x, y) | (F.lit(buffer > 0) & (g.shape_distance("_shape", x, y) <= buffer))
+    inside = asked.join(tiles, ["_cx", "_cy"]).where(hit).select("_row").distinct()
+    return marked.join(inside, "_row", "left_semi").drop("_row"), marked.join(inside, "_row", "left_anti").drop("_row")
 
 
 def overlaps(areas: DataFrame, cells: DataFrame, area_key: str, cell_key: str, size: float) -> DataFrame:
-    """(area key, cell key, piece, area_size, cell_size): shared surface of every area (any ring) and convex cell that meet."""
-
-    def tiled(df: DataFrame, key: str, name: str) -> DataFrame:
-        west, south, east, north = g.bounds("ring")
-        df = df.select(key, F.col("ring").alias(name)).withColumn("_b", F.struct(*(c.alias(n) for c, n in zip(g.bounds(name), "wsen", strict=True))))
-        del west, south, east, north
-        return df.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_b.w") / size), F.floor(F.col("_b.e") / size)))).withColumn(
-            "_cy", F.explode(F.sequence(F.floor(F.col("_b.s") / size), F.floor(F.col("_b.n") / size)))
-        )
-
-    a, c = tiled(areas, area_key, "_a").withColumnRenamed("_b", "_ba"), tiled(cells, cell_key, "_c").withColumnRenamed("_b", "_bc")
+    """(area key, cell key, piece, area_size, cell_size): shared surface of every area (any ring, or rings with holes) and convex cell that meet."""
+
+    def tiled(df: DataFrame, key: str, name: str, value: Column, edges: tuple[Column, ...], surface: Column) -> DataFrame:
+        df = df.select(key, value.alias(name), F.struct(*(c.alias(n) for c, n in zip(edges, "wsen", strict=True))).alias(f"_b{name}"), surface.alias(f"_s{name}"))
+        box = lambda n: F.floor(F.col(f"_b{name}.{n}") / size)
+        return df.withColumn("_cx", F.explode(F.sequence(box("w"), box("e")))).withColumn("_cy", F.explode(F.sequence(box("s"), box("n"))))
+
+    # bounds and surfaces are computed once for each area and cell, not for each pair
+    shape = g.shape(areas)
+    a = tiled(areas, area_key, "_a", shape, g.shape_bounds(shape), g.shape_area(shape))
+    ring = g.outward("ring")
+    c = tiled(cells, cell_key, "_c", ring, g.bounds("ring"), g.area("ring"))
     # a pair that meets in several grid cells counts in the one with its common lower left corner
     met = a.join(c, ["_cx", "_cy"]).where(
-        (F.col("_cx") == F.floor(F.greatest("_ba.w", "_bc.w") / size)) & (F.col("_cy") == F.floor(F.greatest("_ba.s", "_bc.s") / size))
-        & (F.col("_ba.w") <= F.col("_bc.e")) & (F.col("_bc.w") <= F.col("_ba.e")) & (F.col("_ba.s") <= F.col("_bc.n")) & (F.col("_bc.s") <= F.col("_ba.n"))
+        (F.col("_cx") == F.floor(F.greatest("_b_a.w", "_b_c.w") / size)) & (F.col("_cy") == F.floor(F.greatest("_b_a.s", "_b_c.s") / size))
+        & (F.col("_b_a.w") <= F.col("_b_c.e")) & (F.col("_b_c.w") <= F.col("_b_a.e")) & (F.col("_b_a.s") <= F.col("_b_c.n")) & (F.col("_b_c.s") <= F.col("_b_a.n"))
     )
-    pieces = met.select(area_key, cell_key, g.clipped_area("_a", "_c").alias("piece"), g.area("_a").alias("area_size"), g.area("_c").alias("cell_size"))
+    pieces = met.select(area_key, cell_key, g.shape_clipped_area("_a", "_c").alias("piece"), F.col("_s_a").alias("area_size"), F.col("_s_c").alias("cell_size"))
     return pieces.where("piece > 0")
 
 
 def spread_by_source(areas: DataFrame, cells: DataFrame, values: Sequence[str], area_key: str, size: float, joined: str | None = None, prefix: str = "living_", cell_key: str = "hex_id") -> DataFrame:
     """Values of areas to the cells by share of the area's own surface (what lies outside all cells is lost); cells that meet none are left out."""
-    pieces = overlaps(areas, cells, area_key, cell_key, size).join(areas.drop("ring"), area_key)
+    pieces = overlaps(areas, cells, area_key, cell_key, size).join(areas.drop("ring", "rings"), area_key)
     flag = F.coalesce(F.col(joined), F.lit(False)) if joined else F.lit(False)
     share = F.col("piece") / F.col("area_size")
     out = pieces.groupBy(cell_key).agg(
@@ -133,9 +189,9 @@ def spread_by_source(areas: DataFrame, cells: DataFrame, values: Sequence[str],
 
 def spread_kept(areas: DataFrame, cells: DataFrame, values: Sequence[str], area_key: str, size: float, prefix: str = "registered_", cell_key: str = "hex_id") -> DataFrame:
     """Values of areas to the cells by share of the surface that cells cover, so each area that meets a cell keeps its sum; all cells, 0 where none."""
-    pieces = overlaps(areas, cells, area_key, cell_key, size)
-    covered = F.sum("piece").over(Window.partitionBy(area_key))
-    pieces = pieces.withColumn("_share", F.col("piece") / covered).join(areas.drop("ring"), area_key)
+    pieces = cut(overlaps(areas, cells, area_key, cell_key, size))
+    covered = pieces.groupBy(area_key).agg(F.sum("piece").alias("_covered"))
+    pieces = pieces.join(covered.join(areas.drop("ring", "rings"), area_key), area_key).withColumn("_share", F.col("piece") / F.col("_covered"))
     sums = pieces.groupBy(cell_key).agg(
         F.sum("piece").alias(f"{prefix}intersection_area_m2"), *(F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) * F.col("_share")).alias(v) for v in values)
     )
@@ -143,17 +199,45 @@ def spread_kept(areas: DataFrame, cells: DataFrame, values: Sequence[str], area_
     return out.withColumn(f"{prefix}hex_coverage_ratio", F.coalesce(F.try_divide(f"{prefix}intersection_area_m2", "_size"), F.lit(0.0))).drop("_size")
 
 
+def union_pieces(areas: DataFrame, key: str, tile: float) -> DataFrame:
+    """(key, tile_x, tile_y, rings, area): the union of each key's shapes (ring or rings, which may overlap), as disjoint trapezoids in every tile.
+
+    Shapes are cut by square tiles first, so a task unites what lies in one tile
+    of one key, however large the whole is.
+    """
+    import pyarrow as pa
+
+    from terrane.functions.union import trapezoids
+
+    shapes = areas.select(key, g.shape(areas).alias("_s"))
+    west, south, east, north = g.shape_bounds("_s")
+    tiles = shapes.withColumn("tile_x", F.explode(F.sequence(_cell(west, tile), _cell(east, tile)))).withColumn("tile_y", F.explode(F.sequence(_cell(south, tile), _cell(north, tile))))
+    box = g.box_ring(F.col("tile_x") * tile, F.col("tile_y") * tile, (F.col("tile_x") + 1) * tile, (F.col("tile_y") + 1) * tile)
+    cuts = tiles.select(key, "tile_x", "tile_y", F.transform("_s", lambda r: g.clip(r, box)).alias("_s"))
+
+    def unite(table: pa.Table) -> pa.Table:
+        rings = [[(p["x"], p["y"]) for p in r] for s in table.column("_s").to_pylist() for r in s]
+        pieces, area = trapezoids(rings)
+        made = pa.array([[[{"x": x, "y": y} for x, y in p] for p in pieces]], type=pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+        first = table.slice(0, 1).select([key, "tile_x", "tile_y"])
+        return first.append_column("rings", made).append_column("area", pa.array([area]))
+
+    kind = shapes.schema[key].dataType.simpleString()
+    return cuts.groupBy(key, "tile_x", "tile_y").applyInArrow(unite, f"`{key}` {kind}, tile_x long, tile_y long, rings {g.SHAPE}, area double").where("area > 0")
+
+
 def hex_grid(mask: DataFrame, edge: float, size: float | None = None) -> DataFrame:
-    """Hexagons (hex_id, q, r, x, y, ring) whose centre is strictly inside the mask's rings; an empty mask is an error."""
+    """Hexagons (hex_id, q, r, x, y, ring) whose centre is strictly inside the mask's shapes, of which there may be many and which may overlap; holes stay free; an empty mask is an error."""
     if mask.isEmpty():
         raise ValueError("the mask is empty")
-    west, south, east, north = g.bounds("ring")
+    mask = mask.select(g.shape(mask).alias("ring"))
+    west, south, east, north = g.shape_bounds("ring")
     step = 1.5 * edge
     rows = mask.select("ring", F.explode(F.sequence(F.floor(south / step), F.ceil(north / step))).alias("r"), west.alias("w"), east.alias("e"))
     wide = 3**0.5 * edge
     across = rows.select("ring", "r", F.explode(F.sequence(F.floor(F.col("w") / wide - F.col("r") / 2), F.ceil(F.col("e") / wide - F.col("r") / 2))).alias("q"))
     x, y = g.hex_center("q", "r", edge)
-    inside = across.withColumn("x", x).withColumn("y", y).where(g.within("ring", F.col("x"), F.col("y"))).select("q", "r", "x", "y").distinct()
+    inside = across.withColumn("x", x).withColumn("y", y).where(g.shape_within("ring", F.col("x"), F.col("y"))).select("q", "r", "x", "y").distinct()
     return inside.select(g.hex_id("q", "r").alias("hex_id"), "q", "r", "x", "y", g.hex_ring("q", "r", edge).alias("ring"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.cleaning import numeric_columns, ratio, require
-from terrane.functions.ranking import percent_rank
+from terrane.functions.ranking import percent_ranks
 from terrane.functions.scaling import Fitted
-from terrane.functions.stats import quantile
+from terrane.functions.stats import quantile_values, quantiles
+from terrane.functions.store import cut
 
 COSTS = ("access_cost_m0", "access_cost_m1", "access_cost_m2", "access_cost_m3")
 
@@ -24,15 +25,14 @@ def score(cells: DataFrame, demand: str, suffix: str = "final", m0: str = "acces
     Vulnerable cells within the official distance are hidden.
     """
     valid = F.col(demand).isNotNull() & F.col(m3).isNotNull()
-    some = cells.where(valid)
-    cost, need = Fitted.of(some, m3), Fitted.of(some, demand)
+    cost, need = Fitted.of_all(cells.where(valid), m3, demand)
     out = cells.withColumns({
         f"analysis_valid_{suffix}": valid,
         f"cost_m3_norm_{suffix}": F.when(valid, cost.apply(m3)),
         f"demand_norm_{suffix}": F.when(valid, need.apply(demand)),
     })
     out = out.withColumn(f"vulnerability_m3_{suffix}", F.col(f"cost_m3_norm_{suffix}") * F.col(f"demand_norm_{suffix}"))
-    limit = out.agg(quantile(f"vulnerability_m3_{suffix}", q)).first()[0]
+    (limit,) = quantile_values(out, {"limit": (f"vulnerability_m3_{suffix}", q)})
     out = out.withColumn(f"vulnerability_threshold_{suffix}", F.lit(limit).cast("double"))
     vulnerable = _true(F.col(f"vulnerability_m3_{suffix}") >= F.col(f"vulnerability_threshold_{suffix}"))
     near = _true(F.col(m0) <= official_m)
@@ -61,10 +61,9 @@ def diagnose(cells: DataFrame, suffix: str = "final", official_m: float = 400.0,
     out = cells.withColumns(increments())
     is_valid = _true(valid) if valid in cells.columns else F.col(demand).isNotNull() & F.col("access_cost_m3").isNotNull()
     measures = {f"demand_percentile_{suffix}": demand, f"cost_m3_percentile_{suffix}": "access_cost_m3", f"env_penalty_percentile_{suffix}": "total_env_increment_m3_m0"}
-    some = out.where(is_valid)
-    limits = some.agg(*(quantile(c, high) for c in measures.values())).first()
-    for k, (name, column) in enumerate(measures.items()):
-        out = percent_rank(out.withColumn("_x", F.when(is_valid, F.col(column))), "_x", f"_r{k}").drop("_x").withColumnRenamed(f"_r{k}", name)
+    out = cut(out.withColumns({f"_m{k}": F.when(is_valid, F.col(c)) for k, c in enumerate(measures.values())}))
+    limits = quantile_values(out, {name: (f"_m{k}", high) for k, name in enumerate(measures)})
+    out = percent_ranks(out, {f"_m{k}": name for k, name in enumerate(measures)}).drop(*(f"_m{k}" for k in range(len(measures))))
     need, cost, env = (_true(F.col(c) >= F.lit(x)) for c, x in zip(measures.values(), limits, strict=True))
     out = out.withColumns({
         "high_demand_pressure": need, "high_m3_cost_pressure": cost, "high_env_penalty": env,
@@ -82,7 +81,7 @@ def classify(cells: DataFrame, suffix: str = "final", far_quantile: float = 0.75
     """Type of each vulnerable cell: slope before weather before supply, else demand; NULL for the others."""
     flag = f"vulnerable_m3_{suffix}"
     require(cells, [flag, *COSTS])
-    far = cells.where(_true(flag)).agg(quantile("access_cost_m0", far_quantile)).first()[0]
+    (far,) = quantile_values(cells.where(_true(flag)), {"far": ("access_cost_m0", far_quantile)})
     a, b, c, d = (F.col(x) for x in COSTS)
     kind = (
         F.when(F.coalesce(ratio(b - a, d - a), F.lit(0.0)) >= slope_share, "slope_vulnerable")
@@ -118,13 +117,14 @@ def audit(cells: DataFrame, suffix: str = "final", q: float = 0.8, official_m: f
     row = cells.agg(
         F.count("*").alias("row_count"), F.count_distinct("hex_id").alias("hex_id_unique_count"), F.count_if(ok).alias("analysis_valid_count"),
         F.count_if(~ok).alias("analysis_invalid_count"), F.count_if(_true(flag)).alias("vulnerable_count"), F.count_if(_true(hidden)).alias("hidden_vulnerable_count"),
-        F.count_if(near).alias("official_400m_ok_count"), F.min(own).alias("vulnerability_score_min"), quantile(own, 0.5).alias("vulnerability_score_median"),
-        F.max(own).alias("vulnerability_score_max"), F.avg(own).alias("vulnerability_score_mean"), quantile(own, q).alias("actual_threshold"),
+        F.count_if(near).alias("official_400m_ok_count"), F.min(own).alias("vulnerability_score_min"),
+        F.max(own).alias("vulnerability_score_max"), F.avg(own).alias("vulnerability_score_mean"),
         F.min(F.when(ok, F.col(limit))).alias("table_threshold"), F.count_if(_true(hidden) != (near & _true(flag))).alias("hidden_formula_mismatch_count"),
         F.count_if(near != _true(a <= official_m)).alias("official_400m_formula_mismatch_count"), F.count_if(whole).alias("cost_monotonic_checked_rows"),
         F.count_if(whole & falling).alias("cost_monotonic_violation_count"), nulls.alias("valid_required_null_count"), infinite.alias("numeric_inf_count"),
     )
     none = lambda c: F.col(c) == 0
+    row = row.crossJoin(F.broadcast(quantiles(cells, {"vulnerability_score_median": (own, 0.5), "actual_threshold": (own, q)})))  # one row each
     return row.withColumns({
         "hex_id_is_unique": F.col("row_count") == F.col("hex_id_unique_count"),
         "threshold_matches_quantile": _true(F.abs(F.col("actual_threshold") - F.col("table_threshold")) <= tolerance + 1e-5 * F.abs("table_threshold")),
@@ -133,6 +133,20 @@ def audit(cells: DataFrame, suffix: str = "final", q: float = 0.8, official_m: f
     })
 
 
+def leading_by_type(cells: DataFrame, top: int = 20, kind: str = "vulnerability_type", suffix: str = "final", second: str = "registered_population") -> DataFrame:
+    """The cells of the highest score, then of the greatest second key, then by id: overall ("all") and of each type, with their rank (a top-k report)."""
+    score = f"vulnerability_m3_{suffix}"
+    order = [F.desc_nulls_last(score), F.desc_nulls_last(second), F.col("hex_id")]
+    typed = cells.where(F.col(kind).isNotNull())
+    overall = typed.orderBy(*order).limit(top).withColumn("list", F.lit("all"))
+    ranked = typed.withColumn("list", F.col(kind)).withColumn("_salt", F.pmod(F.xxhash64("hex_id"), F.lit(64)))
+    # the best of each type are among the best of its parts, so no task sorts a whole type
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    parts = ranked.withColumn("_p", place("list", "_salt")).where(F.col("_p") <= top).drop("_p", "_salt")
+    both = overall.select(*cells.columns, "list").union(parts.select(*cells.columns, "list"))
+    return both.withColumn("rank", place("list")).where(F.col("rank") <= top)
+
+
 def shortlist(cells: DataFrame, suffix: str = "final", limit: int | None = None) -> DataFrame:
     """Hidden cells by score, the worst first, with their rank (ties by id); a limit makes it a top-k report."""
     order = [F.col(f"vulnerability_m3_{suffix}").desc(), F.col("hex_id")]

@@ -8,21 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+#: Streets join as many nodes as there are parts.
+NODES = "(select max(p_partkey) from {part})"
+
 VIEWS = {
-    "edges": """
-        select l_partkey % 2000 as u, (l_partkey * 7 + l_suppkey) % 2000 as v, l_linenumber as key, l_orderkey as osmid,
+    "edges": f"""
+        select l_partkey as u, 1 + (l_partkey * 7 + l_suppkey) % {NODES} as v, l_linenumber as key, l_orderkey as osmid,
             l_quantity * 10.0 as length_m,
             case when l_orderkey % 37 = 0 then null when l_orderkey % 41 = 0 then 684.6 else (l_discount - 0.05) * 900.0 end as grade_percent,
             abs(case when l_orderkey % 37 = 0 then null when l_orderkey % 41 = 0 then 684.6 else (l_discount - 0.05) * 900.0 end) as grade_abs_percent,
             case when l_returnflag = 'R' then 'steps' when l_returnflag = 'A' then 'footway' end as highway
-        from {lineitem}""",
-    "stops": "select distinct s_suppkey * 37 % 2000 as node from {supplier} where s_acctbal > 0",
-    "added_stops": "select distinct p_partkey % 2000 as node from {part} where p_partkey % 97 = 5",
+        from {{lineitem}}""",
+    "stops": f"select distinct 1 + s_suppkey * 37 % {NODES} as node from {{supplier}} where s_acctbal > 0",
+    "added_stops": "select p_partkey as node from {part} where p_size = 7",
     "cells": """
-        select p_partkey as hex_id, case when p_partkey % 29 = 0 then null else p_partkey % 2000 end as origin_node_id, p_retailprice as population,
+        select p_partkey as hex_id, case when p_partkey % 29 = 0 then null else p_partkey end as origin_node_id, p_retailprice as population,
             cast(p_size as double) as senior, case when p_partkey % 31 = 0 then null else p_retailprice * (1 + p_size % 7) end as demand, p_brand as area
         from {part}""",
-    "grid": "select 'g' || cast(user_id % 200 as varchar(9)) as grid, hour(ts) as hr, abs(value) as living, abs(value) * (user_id % 4) * 0.1 as old from {events}",
+    "grid": "select 'g' || cast(user_id as varchar(9)) as grid, hour(ts) as hr, abs(value) as living, abs(value) * (user_id % 4) * 0.1 as old from {events}",
     "trips": """
         select '202501' as month, cast(o_orderkey % 7 as varchar(9)) as weekday, case when o_orderkey % 50 = 0 then null else o_orderkey % 24 end as hour,
             case when c_nationkey < 12 then '11' else '21' end || cast(100 + c_nationkey as varchar(9)) as origin,

@@ -182,7 +182,8 @@ def score_report(df: DataFrame, suffix: str = "final") -> dict:
     """Score figures and counts, and the population of hidden cells."""
     people = [c for c in ("registered_population", "registered_senior_population") if c in df.columns]
     hidden = F.col(f"hidden_vulnerable_{suffix}")
-    return files.report_of(df.agg(*stats.score_stats(f"vulnerability_m3_{suffix}"), F.count_if(f"vulnerable_m3_{suffix}").alias("vulnerable"), F.count_if(hidden).alias("hidden"), *(F.sum(F.when(hidden, F.col(c))).alias(f"hidden_{c}") for c in people)))
+    counts = df.agg(F.count_if(f"vulnerable_m3_{suffix}").alias("vulnerable"), F.count_if(hidden).alias("hidden"), *(F.sum(F.when(hidden, F.col(c))).alias(f"hidden_{c}") for c in people))
+    return files.report_of(stats.score_stats(df, f"vulnerability_m3_{suffix}")) | files.report_of(counts)
 
 
 def _tables(spark: SparkSession, given: dict[str, str]) -> dict[str, DataFrame]:

@@ -279,19 +279,39 @@ def steps_dependence(spark, sf_dir):
     return sensitivity.steps_dependence(senior_long(spark, sf_dir)).select("hex_id", "no_alternative", "uses_steps")
 
 
-@register("r19_r20_senior_core")
+@register("r19_senior_core", model_sql(SENIOR_PATHS + """,
+long as (
+  select hex_id, demand, w, p, case p when 'steps_allowed' then allowed when 'steps_penalty' then penalty else barrier end * f as minutes
+  from policies, (values ('dry', 1.0::double), ('rain', 1.06::double), ('snow', 1.24::double)) x(w, f), (values ('steps_allowed'), ('steps_penalty'), ('steps_barrier')) y(p)),
+base as (select * from long where w = 'rain' and p = 'steps_penalty' and minutes is not null),
+lim as (select min(minutes) as c0, max(minutes) as c1, min(demand) as d0, max(demand) as d1 from base),
+cut as (select quantile_cont((minutes - c0) / (c1 - c0) * (demand - d0) / (d1 - d0), 0.8) as t from base, lim)
+select hex_id, bool_and(flag) as robust_core, bool_or(flag) as any_variant from (
+  select hex_id, coalesce(minutes is null or (minutes - c0) / (c1 - c0) * (demand - d0) / (d1 - d0) >= t, false) as flag from long, lim, cut) group by hex_id"""))
 def senior_core(spark, sf_dir):
     """Cells vulnerable in all nine variants."""
     return sensitivity.core_over(senior_long(spark, sf_dir), "hex_id", "vulnerable")
 
 
-@register("r04_t05_k_nearest")
+@register("r04_t05_k_nearest", rounded(model_sql(USABLE.rstrip() + """,
+g as (select u, v, min(cost_m3) as w from costed group by u, v),
+k(node, goal, cost) using key (node, goal) as (
+  select node, node, 0.0::double from stops where node in (select u from g union select v from g)
+  union
+  select e.u, d.goal, min(d.cost + e.w) from k d join g e on e.v = d.node left join recurring.k r on r.node = e.u and r.goal = d.goal where r.cost is null or d.cost + e.w < r.cost group by e.u, d.goal)
+select node, least(count(*), 3) as n_found, case when count(*) >= 3 then list_avg(list_sort(list(cost))[1:3]) end as mean_cost from k group by node"""), "mean_cost"))
 def k_nearest(spark, sf_dir):
     """Mean cost to the three nearest distinct stops."""
     return routing.k_nearest_cost(costed(spark, sf_dir), view(spark, sf_dir, "stops"), "cost_m3", 3)
 
 
-@register("r05_reach_shrink")
+@register("r05_reach_shrink", rounded(model_sql(USABLE.rstrip() + "," + ",".join(f"""
+b{k} as (select u, v, min(cost_m{k}) as w from costed group by u, v having min(cost_m{k}) <= 60),
+n{k}(source, node, cost) using key (source, node) as (
+  select node, node, 0.0::double from stops
+  union
+  select d.source, e.v, min(d.cost + e.w) from n{k} d join b{k} e on e.u = d.node left join recurring.n{k} r on r.source = d.source and r.node = e.v where d.cost + e.w <= 60 and (r.cost is null or d.cost + e.w < r.cost) group by d.source, e.v)""" for k in (0, 3)) + """
+select source, n_flat, n_hard, n_hard / n_flat as shrink from (select source, count(*) as n_flat from n0 group by 1) join (select source, count(*) as n_hard from n3 group by 1) using (source)"""), "shrink"))
 def reach_shrink(spark, sf_dir):
     """Nodes that each stop reaches within 60 m flat and under m3."""
     return routing.reach_shrink(costed(spark, sf_dir), view(spark, sf_dir, "stops"), budget=60.0)
@@ -313,7 +333,11 @@ def normalisations(spark, sf_dir):
     return sensitivity.normalised_variants(cells, "access_cost_m3", "demand").select("hex_id", *(f"score_{n}" for n in sensitivity.NORMALISATIONS))
 
 
-@register("r23_robust_core")
+@register("r23_robust_core", model_sql(NORMAL + """,
+s as (select hex_id, bc * bd as a, wc * wd as b, lc * ld as c, rc * rd as d from v),
+t as (select quantile_cont(a, 0.8) as ta, quantile_cont(b, 0.8) as tb, quantile_cont(c, 0.8) as tc, quantile_cont(d, 0.8) as td from s),
+f as (select hex_id, (a >= ta)::int + (b >= tb)::int + (c >= tc)::int + (d >= td)::int as n from s, t)
+select hex_id, n as variant_count, n = 4 as robust_core, n > 0 as any_variant, n between 1 and 3 as sensitive from f"""))
 def robust_core(spark, sf_dir):
     """Cells in the top fifth of four normalisations."""
     cells = access(spark, sf_dir).where("access_cost_m3 is not null and demand is not null")
@@ -347,7 +371,24 @@ def weather_response(spark, sf_dir):
     return sensitivity.weather_response(c, {"c_acctbal": 0.6, "c_nationkey": 0.4}).select("c_custkey", "response_score")
 
 
-@register("r25_weather_candidates")
+def share_of_rank(column: str) -> str:
+    return f"(({AVERAGE_RANK.format(c=column)}) / count(*) over ())"
+
+
+@register("r25_weather_candidates", rounded(model_sql(SCORED.replace("access_cost_m0 <= 60", "access_cost_m0 <= 2000") + f""",
+env as (select *, access_cost_m3 - access_cost_m0 as inc, access_cost_m1 - access_cost_m0 as slope, access_cost_m2 - access_cost_m1 as weather, access_cost_m3 - access_cost_m2 as inter from scored),
+cuts as (select quantile_cont(demand, 0.75) as hd, quantile_cont(inc, 0.75) as he from env where score is not null),
+some as (
+  select *, slope + inter as snow, 0.7 * slope + 1.3 * inter as slip, 0.85 * weather + 0.35 * inter as water, weather + inter as effect, slope / nullif(inc, 0) as slope_share, weather / nullif(inc, 0) as weather_share, inter / nullif(inc, 0) as inter_share,
+    case when demand >= hd and inc >= he then '복합형' when demand >= hd and access_cost_m0 >= 1600 then '수요+경계형' when demand >= hd then '수요집중형' when inc >= he then '경사·기상 부담형' when access_cost_m0 >= 1600 then '400m 경계형' else '혼합형' end as reason
+  from env, cuts where official and vulnerable),
+ranked as (
+  select *, {share_of_rank('snow')} as p_snow, {share_of_rank('slip')} as p_slip, {share_of_rank('water')} as p_water, {share_of_rank('effect')} as p_effect,
+    0.34 * {share_of_rank('effect')} + 0.18 * {share_of_rank('inc')} + 0.16 * {share_of_rank('score')} + 0.12 * {share_of_rank('demand')} + 0.10 * {share_of_rank('access_cost_m3')} + 0.10 * {share_of_rank('senior')} as scenario3_score from some)
+select hex_id, scenario3_score, case when p_snow >= p_water and p_snow >= p_slip then '제설 우선구간' when p_water >= p_slip then '배수 불량/침수 가능' else '미끄럼 방지 포장' end as primary_low_cost_type,
+  coalesce(nullif(concat_ws(', ', case when p_snow >= 0.75 or (slope_share >= 0.65 and p_effect >= 0.6) then '제설 우선순위' end, case when p_water >= 0.75 or (weather_share >= 0.22 and p_effect >= 0.7) then '배수/침수 점검' end,
+    case when p_slip >= 0.75 or inter_share >= 0.06 then '미끄럼 방지 포장' end), ''), '현장 점검') as recommended_actions, reason
+from ranked order by scenario3_score desc, score desc, hex_id limit 20""").replace("some as (", "some_ as (").replace("from some)", "from some_)"), "scenario3_score"))
 def weather_candidates(spark, sf_dir):
     """Cells that are hidden at 2 km by their weather response, with low-cost actions: the twenty highest."""
     found = vul.diagnose(scored(spark, sf_dir, 2000.0).withColumn("registered_senior_population", F.col("senior")), official_m=2000.0)
@@ -370,7 +411,9 @@ def relabel(spark, sf_dir):
     return sensitivity.relabel(c, n, "n_nationkey", ["n_name"])[1]
 
 
-@register("k09_table_hash")
+@register("k09_table_hash", """
+with h as (select sha256(concat_ws(chr(31), coalesce(s_name, chr(0)), coalesce(cast(s_nationkey as varchar), chr(0)), coalesce(cast(s_suppkey as varchar), chr(0)))) as h from supplier)
+select sha256(count(*) || '|' || bit_xor(('0x' || substr(h, 1, 15))::bigint) || '|' || sum(('0x' || substr(h, 16, 15))::bigint)) as table_hash from h""")
 def table_hash(spark, sf_dir):
     """A hash of the supplier table that no order of rows changes."""
-    return reports.table_hash(spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    return reports.table_hash(spark.read.parquet(f"{sf_dir}/supplier.parquet").repartition(3), ["s_name", "s_nationkey", "s_suppkey"])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geometry as g
 from terrane.operators import population as pop
-from terrane.operators import spatial
+from terrane.operators import routing, spatial
+from terrane.plans import commands
 from terrane.plans.analog import rounded, view, with_views
 from terrane.plans.registry import register
 
@@ -84,11 +85,13 @@ def stops_near(spark, sf_dir):
     return spatial.stops_near(view(spark, sf_dir, "points"), view(spark, sf_dir, "nodes"), "point_id")
 
 
-@register("a07_dissolve", "select substr(cast(1123051000 + n_nationkey as varchar), 1, 9) as k, string_agg(distinct n_name, ',' order by n_name) as n_names, count(*) as parts, min(string_split(n_name, ' ')[1]) as district, 25.0 * count(*) as area from nation group by 1")
+@register("a07_dissolve", "select substr(cast(1123051000 + n_nationkey as varchar), 1, 9) as k, string_agg(distinct n_name, ',' order by n_name) as n_names, count(*) as parts, min(string_split(n_name, ' ')[1]) as district, 5.0 * (max(n_nationkey) + 5 - min(n_nationkey)) as area from nation group by 1")
 def dissolve(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("ring", g.ring([(0, 0), (5, 0), (5, 5), (0, 5)]))
-    out = pop.dissolve(n, F.substring((F.lit(1123051000) + F.col("n_nationkey")).cast("string"), 1, 9), "k", ["n_name"])
-    return out.select("k", F.col("n_names").alias("n_names"), "parts", "district", F.aggregate(F.transform("rings", g.area), F.lit(0.0), lambda s, x: s + x).alias("area"))
+    """Areas of 5 x 5 that overlap in a row: their union counts shared surface once."""
+    k = F.col("n_nationkey").cast("double")
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    outer = g.box_ring(k, F.lit(0.0), k + 5, F.lit(5.0))
+    return pop.dissolve(n.withColumn("rings", F.array(outer)), F.substring((F.lit(1123051000) + F.col("n_nationkey")).cast("string"), 1, 9), "k", ["n_name"], tile=3.0).select("k", "n_names", "parts", "district", "area")
 
 
 @register("g06_area_centroid", rounded(with_views(" select hex_id, 160000.0::double as area, (w + e) / 2 as cx, (s + n) / 2 as cy from squares", "squares"), "area", "cx", "cy"))
@@ -97,13 +100,72 @@ def area_centroid(spark, sf_dir):
     return boxes(spark, sf_dir, "squares").select("hex_id", g.area("ring").alias("area"), x.alias("cx"), y.alias("cy"))
 
 
-@register("g02_g05_hex_grid")
-def hex_grid(spark, sf_dir):
-    """Hexagons of 300 m edges over the areas' surface (union by distinct ids)."""
-    return spatial.hex_grid(boxes(spark, sf_dir, "areas").select("ring"), 300.0).select("hex_id", "x", "y", g.area("ring").alias("area"))
+def with_holes(spark, sf_dir):
+    """Areas of 700 x 500 with a hole of 200 x 350."""
+    a, w, s = view(spark, sf_dir, "areas"), F.col("w"), F.col("s")
+    return a.withColumn("rings", F.array(g.box_ring(w, s, F.col("e"), F.col("n")), F.reverse(g.box_ring(w + 100, s + 50, w + 300, s + 400))))
 
 
-@register("g01_projection")
+@register("g02_g05_g09_c06_hex_grid", rounded(with_views("""
+, cells as (
+  select distinct q, r, 300 * (sqrt(3) * q + sqrt(3) / 2 * r) as x, 450.0 * r as y from (
+    select *, unnest(range(cast(floor(w / (sqrt(3) * 300) - r / 2.0) as bigint), cast(ceil(e / (sqrt(3) * 300) - r / 2.0) as bigint) + 1)) as q
+    from (select *, unnest(range(cast(floor(s / 450.0) as bigint), cast(ceil(n / 450.0) as bigint) + 1)) as r from areas))
+  where 300 * (sqrt(3) * q + sqrt(3) / 2 * r) > w and 300 * (sqrt(3) * q + sqrt(3) / 2 * r) < e and 450.0 * r > s and 450.0 * r < n
+    and not (300 * (sqrt(3) * q + sqrt(3) / 2 * r) between w + 100 and w + 300 and 450.0 * r between s + 50 and s + 400))
+select q || ':' || r as hex_id, x, y, 1.5 * sqrt(3) * 90000 as area, count(*) over () as cells from cells""", "areas"), "x", "y", "area"))
+def hex_grid(spark, sf_dir):
+    """Hexagons of 300 m edges over areas that overlap and have holes."""
+    made = commands.build_analysis_hexes(with_holes(spark, sf_dir).select("rings"), 300.0)
+    return made.select("hex_id", "x", "y", g.area("ring").alias("area")).crossJoin(F.broadcast(made.agg(F.count("*").alias("cells"))))
+
+
+@register("g06_j13_inner_points", rounded(with_views("""
+, best as (select area_id, w + 500 as x, s + 225 as y from areas), labels as (select area_name as label, w as aw, e as ae, s as a_s, n as an from areas)
+select area_id, x, y, 280000.0::double as surface, w + (350 * 350000 - 200 * 70000) / 280000.0 as cx, (select min(label) from labels where x between aw and ae and y between a_s and an and not (x > aw + 100 and x < aw + 300 and y > a_s + 50 and y < a_s + 400)) as label
+from areas join best using (area_id)""", "areas"), "x", "y", "surface", "cx"))
+def inner_points(spark, sf_dir):
+    """A point inside each area, which its centre may not be; surface and centre without the hole; the label at the point."""
+    a = with_holes(spark, sf_dir)
+    cx, _ = g.shape_centroid("rings")
+    named = spatial.label(a.select(F.col("area_id").alias("hex_id"), "rings"), a.select(F.col("area_name").alias("label"), "rings"), ["label"], 800.0, point="inner")
+    return g.with_inner_point(a, "rings").select("area_id", "x", "y", g.shape_area("rings").alias("surface"), cx.alias("cx")).join(named.select(F.col("hex_id").alias("area_id"), "label"), "area_id")
+
+
+@register("j12_j17_holed_counts", with_views(" select area_id, count(point_id) as points from areas left join points on x > w and x < e and y > s and y < n and not (x between w + 100 and w + 300 and y between s + 50 and s + 400) group by 1", "areas", "points"))
+def holed_counts(spark, sf_dir):
+    """Points strictly inside each area and outside its hole."""
+    a = with_holes(spark, sf_dir)
+    found = spatial.containing(view(spark, sf_dir, "points"), a.select("area_id", "rings"), 400.0).groupBy("area_id").agg(F.count("*").alias("points"))
+    return a.select("area_id").join(found, "area_id", "left").fillna(0, subset=["points"])
+
+
+@register("g07_reach_gaps", with_views("""
+, near as (select a.node_id as source, b.node_id as node, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from nodes a join nodes b on abs(a.x - b.x) <= 900 and abs(a.y - b.y) <= 900)
+select source, node, case when source = node or 2 * d <= 900 then 'reached' when 1.2 * d <= 900 then 'slope' else 'detour' end as gap from near where d <= 900""", "nodes"))
+def reach_gaps(spark, sf_dir):
+    """Nodes in a circle that are out of reach by detour or by slope, on a network of direct streets, flat 1.2 and hard 2 times as long as the crow flies."""
+    n = view(spark, sf_dir, "nodes")
+    streets = spatial.within_distance(n.select(F.col("node_id").alias("u"), "x", "y"), n.select(F.col("node_id").alias("v"), "x", "y"), 900.0).where("u != v")
+    streets = streets.select("u", "v", (F.col("distance") * 1.2).alias("cost_m0"), (F.col("distance") * 2).alias("cost_m3"))
+    return routing.reach_gaps(n, streets, n.select(F.col("node_id").alias("node")), 900.0)
+
+
+def projected_sql(name: str, source: str, lon: str, lat: str, others: str, zone: int = 5179) -> str:
+    """Expressions up to `name` (others, x, y) that project the source's degrees, by the same series as geometry.project()."""
+    meridian, _, scale, east, north = g.ZONES[zone]
+    n = g._N
+    e = 2 * n**0.5 / (1 + n)
+    xs = "eta" + "".join(f" + {a!r}::double * cos({2 * (k + 1)} * xi) * sinh({2 * (k + 1)} * eta)" for k, a in enumerate(g._ALPHA))
+    ys = "xi" + "".join(f" + {a!r}::double * sin({2 * (k + 1)} * xi) * cosh({2 * (k + 1)} * eta)" for k, a in enumerate(g._ALPHA))
+    return f"""{name}_1 as (select {others}, sin(radians({lat})) as sine, radians({lon} - {meridian}) as away from {source}),
+{name}_2 as (select *, sinh(atanh(sine) - {e!r}::double * atanh({e!r}::double * sine)) as t from {name}_1),
+{name}_3 as (select *, atan2(t, cos(away)) as xi, atanh(sin(away) / sqrt(1 + t * t)) as eta from {name}_2),
+{name} as (select {others}, {east} + {scale}::double * {g._RADIUS!r}::double * ({xs}) as x, {north} + {scale}::double * ({g._RADIUS!r}::double * ({ys}) - {g._northing_of_origin(g.ZONES[zone][1])!r}::double) as y from {name}_3)"""
+
+
+@register("g01_projection", rounded(with_views(", " + projected_sql("placed", "(select point_id, 126.0 + x / 5000 as lon, 36.0 + y / 5000 as lat from points)", "lon", "lat", "point_id") + """
+select point_id, x, y, 0.0::double as error_lon, 0.0::double as error_lat from placed""", "points"), "x", "y", digits=3), digits=3)
 def projection(spark, sf_dir):
     """Degrees to metres and back: the error of the round trip in degrees."""
     p = view(spark, sf_dir, "points").select("point_id", (126.0 + F.col("x") / 5000).alias("lon"), (36.0 + F.col("y") / 5000).alias("lat"))

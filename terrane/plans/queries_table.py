@@ -354,10 +354,12 @@ def first_rows(spark, sf_dir):
     return reports.first_per_key(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_acctbal", "c_custkey"), "c_nationkey", ["c_acctbal", "c_custkey"])
 
 
-@register("j18_u05_unmatched_keys", "select c_nationkey as k, 'left' as only_in from (select distinct c_nationkey from customer where c_custkey % 3 = 0 except select s_nationkey from supplier where s_suppkey % 7 = 0) union all select * from (select distinct s_nationkey, 'right' from supplier where s_suppkey % 7 = 0 and s_nationkey not in (select c_nationkey from customer where c_custkey % 3 = 0))")
+@register("j18_u05_unmatched_keys", "select c_custkey as k, 'left' as only_in from customer where c_custkey not in (select o_custkey from orders) union all select distinct l_suppkey + 1000000, 'right' from lineitem")
 def unmatched_keys(spark, sf_dir):
-    a = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"))
-    b = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("k"))
+    """Customers without orders, and keys that only the other side has."""
+    a = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k"))
+    b = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("k"))
+    b = b.union(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") + 1000000).cast("long")))
     return pop.unmatched_keys(a, b, ["k"])
 
 

@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None, digits: int = 6) -> Callable:
     return add
 
 
-from terrane.plans import queries_model, queries_space, queries_stream, queries_table  # noqa: E402, F401
+from terrane.plans import queries_commands, queries_files, queries_model, queries_parts, queries_space, queries_stream, queries_table  # noqa: E402, F401

@@ -1,6 +1,8 @@
 """GeoPackage layers (SQLite files) as a Spark data source, and a writer; GeoJSON lines.
 
-Polygons are read as their outer ring (array of x, y), points as x and y.
+Geometries are read as shapes (rings of x, y): outer rings counter-clockwise and
+holes clockwise, those of a multipolygon one after another; a point or a line is
+one list of places.
 """
 
 from __future__ import annotations
@@ -19,11 +21,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 _ENVELOPES = (0, 32, 48, 48, 64)
 
 
-def decode(blob: bytes) -> list[list[tuple[float, float]]]:
-    """Outer rings (or a single point) of a GeoPackage or plain WKB geometry."""
+Ring = list[tuple[float, float]]
+
+
+def turned(ring: Sequence[tuple[float, float]], outer: bool) -> Ring:
+    """A ring without the repeated first point, counter-clockwise if it is an outer one, else clockwise."""
+    open_ = list(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)
+    twice = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(open_, open_[1:] + open_[:1], strict=True))
+    return open_[::-1] if (twice > 0) != outer else open_
+
+
+def decode(blob: bytes) -> list[Ring]:
+    """The shape of a GeoPackage or plain WKB geometry."""
     at = 8 + _ENVELOPES[(blob[3] >> 1) & 7] if blob[:2] == b"GP" else 0
 
-    def read(at: int) -> tuple[list[list[tuple[float, float]]], int]:
+    def read(at: int) -> tuple[list[Ring], int]:
         order = "<" if blob[at] else ">"
         kind = struct.unpack_from(f"{order}I", blob, at + 1)[0] % 1000
         at += 5
@@ -40,9 +52,7 @@ def decode(blob: bytes) -> list[list[tuple[float, float]]]:
                 (points,) = struct.unpack_from(f"{order}I", blob, at)
                 flat = struct.unpack_from(f"{order}{2 * points}d", blob, at + 4)
                 at += 4 + 16 * points
-                if k == 0:  # holes are left out
-                    ring = list(zip(flat[::2], flat[1::2], strict=True))
-                    out.append(ring[:-1] if ring and ring[0] == ring[-1] else ring)
+                out.append(turned(list(zip(flat[::2], flat[1::2], strict=True)), outer=k == 0))
             else:
                 rings, at = read(at)
                 out += rings
@@ -51,13 +61,32 @@ def decode(blob: bytes) -> list[list[tuple[float, float]]]:
     return read(at)[0]
 
 
-def encode(ring: Sequence[tuple[float, float]], srid: int) -> bytes:
-    """A point (one place) or polygon as a GeoPackage geometry."""
+def polygons(shape: Sequence[Ring]) -> list[list[Ring]]:
+    """The rings of each polygon of a shape: an outer ring and the holes that follow it."""
+    out: list[list[Ring]] = []
+    for ring in shape:
+        if not out or turned(ring, outer=True) == list(ring):
+            out.append([ring])
+        else:
+            out[-1].append(ring)
+    return out
+
+
+def encode(shape: Sequence[Ring] | Ring, srid: int) -> bytes:
+    """A point (one place), polygon or multipolygon as a GeoPackage geometry; a single ring may stand for a shape."""
     head = b"GP\x00\x01" + struct.pack("<i", srid)
-    if len(ring) == 1:
-        return head + struct.pack("<BI2d", 1, 1, *ring[0])
-    closed = [*ring, ring[0]]
-    return head + struct.pack("<BIII", 1, 3, 1, len(closed)) + b"".join(struct.pack("<2d", *p) for p in closed)
+    rings = [list(shape)] if shape and isinstance(shape[0][0], (int, float)) else [list(r) for r in shape]
+    if len(rings) == 1 and len(rings[0]) == 1:
+        return head + struct.pack("<BI2d", 1, 1, *rings[0][0])
+
+    def polygon(own: list[Ring]) -> bytes:
+        closed = [[*r, r[0]] for r in own]
+        return struct.pack("<BII", 1, 3, len(closed)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in closed)
+
+    parts = polygons([turned(rings[0], outer=True), *rings[1:]])
+    if len(parts) == 1:
+        return head + polygon(parts[0])
+    return head + struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(polygon, parts))
 
 
 def _layers(path: str) -> dict[str, str]:
@@ -117,8 +146,9 @@ def read_layer(spark: SparkSession, path: str, layer: str | None = None) -> Data
 
 
 def write_layer(df: DataFrame, path: str, layer: str, srid: int = 5179, overwrite: bool = True) -> int:
-    """A layer of (attributes, ring) into one file, beside layers that it holds already; rows pass one partition at a time."""
-    names = [f.name for f in df.schema if f.name != "ring"]
+    """A layer of (attributes, ring or rings) into one file, beside layers that it holds already; rows pass one partition at a time, as the format is one file."""
+    column = "rings" if "rings" in df.columns else "ring"
+    names = [f.name for f in df.schema if f.name != column]
     kinds = {f.name: "INTEGER" if isinstance(f.dataType, (T.LongType, T.IntegerType, T.BooleanType)) else "REAL" if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else "TEXT" for f in df.schema}
     base = sqlite3.connect(path)
     try:
@@ -133,9 +163,10 @@ def write_layer(df: DataFrame, path: str, layer: str, srid: int = 5179, overwrit
         base.execute("insert or replace into gpkg_contents (table_name, data_type, identifier, srs_id) values (?, 'features', ?, ?)", (layer, layer, srid))
         base.execute("insert or replace into gpkg_geometry_columns values (?, 'geom', 'GEOMETRY', ?, 0, 0)", (layer, srid))
         listed, marks, count = "".join(f', "{n}"' for n in names), ", ?" * len(names), 0
-        for row in df.select(*[f"`{n}`" for n in names], "ring").toLocalIterator():
-            ring = None if row["ring"] is None else encode([(p["x"], p["y"]) for p in row["ring"]], srid)
-            base.execute(f'insert into "{layer}" (geom{listed}) values (?{marks})', (ring, *(row[n] for n in names)))
+        for row in df.select(*[f"`{n}`" for n in names], column).toLocalIterator():
+            rings = row[column] if column == "rings" or row[column] is None else [row[column]]
+            shape = None if rings is None else encode([[(p["x"], p["y"]) for p in r] for r in rings], srid)
+            base.execute(f'insert into "{layer}" (geom{listed}) values (?{marks})', (shape, *(row[n] for n in names)))
             count += 1
         base.commit()
         return count
@@ -166,31 +197,45 @@ def simplified(ring: Sequence[tuple[float, float]], tolerance: float) -> list[tu
 
 
 def feature_lines(df: DataFrame, digits: int = 6, tolerance: float = 0.0, zone: int | None = 5179) -> DataFrame:
-    """One GeoJSON feature a row as text: attributes rounded, rings simplified (in metres) and turned to degrees."""
+    """One GeoJSON feature a row as text: attributes rounded, shapes (ring or rings) simplified (in metres) and turned to degrees."""
+    import pyarrow as pa
+
     from terrane.functions import cleaning
     from terrane.functions import geometry as g
 
+    names = [c for c in df.columns if c not in ("ring", "rings")]
+    df = df.select(*names, g.shape(df).alias("rings"))
     if tolerance > 0:
 
-        @F.udf(g.RING)
-        def thin(ring):
-            return None if ring is None else [{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in ring], tolerance)]
+        def thin(batches):
+            for batch in batches:
+                at = batch.schema.get_field_index("rings")
+                shapes = [None if s is None else [[{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in r], tolerance)] for r in s] for s in batch.column(at).to_pylist()]
+                yield batch.set_column(at, "rings", pa.array(shapes, type=batch.schema.field(at).type))
 
-        df = df.withColumn("ring", thin("ring"))
-    names = [c for c in df.columns if c != "ring"]
-    rounded = cleaning.round_numeric(df.select(*names, "ring"), digits)
+        df = df.mapInArrow(thin, df.schema)
+    rounded = cleaning.round_numeric(df, digits)
 
-    def degrees(p):
+    def place(p):
         lon, lat = g.unproject(p.x, p.y, zone) if zone else (p.x, p.y)
         return F.array(F.bround(lon, digits), F.bround(lat, digits))
 
-    ring = F.concat(F.col("ring"), F.slice("ring", 1, 1))
-    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, degrees)).alias("coordinates"))
-    return rounded.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*names).alias("properties"), shape.alias("geometry"))).alias("value"))
+    closed = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), place)
+    # an outer ring opens a polygon, holes join the one before
+    none = F.array().cast(f"array<{g.SHAPE}>")
+    parts = F.aggregate("rings", none, lambda out, r: F.when((g.signed_area(r) > 0) | (F.size(out) == 0), F.concat(out, F.array(F.array(r)))).otherwise(
+        F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(F.element_at(out, -1), F.array(r))))
+    ))
+    polygon = lambda p: F.transform(p, closed)
+    properties = F.struct(*names).alias("properties")
+    feature = lambda kind, where: F.to_json(F.struct(F.lit("Feature").alias("type"), properties, F.struct(F.lit(kind).alias("type"), where.alias("coordinates")).alias("geometry")))
+    many = rounded.withColumn("_parts", parts)
+    one = feature("Polygon", polygon(F.element_at("_parts", 1)))
+    return many.select(F.when(F.size("_parts") > 1, feature("MultiPolygon", F.transform("_parts", polygon))).otherwise(one).alias("value"))
 
 
 def write_features(df: DataFrame, path: str, **options) -> None:
-    """A FeatureCollection in one file, for maps; rows pass one partition at a time."""
+    """A FeatureCollection in one file, for maps; rows pass one partition at a time. For large tables write feature_lines() as text from the tasks."""
     with Path(path).open("w", encoding="utf-8") as out:
         out.write('{"type": "FeatureCollection", "features": [')
         for k, row in enumerate(feature_lines(df, **options).toLocalIterator()):

@@ -119,6 +119,34 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row_idx int, col_idx int, value string")
 
 
+def write_workbook(path: str, contents: dict[str, list[list[str | None]]]) -> None:
+    """Sheets of texts as a workbook, for reports: cells are inline strings, those that repeat shared ones; None leaves a cell out."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    main, office = _MAIN[1:-1], _LINK[1:].split("}")[0]
+    texts = [x for rows in contents.values() for row in rows for x in row if x is not None]
+    shared = sorted({x for x in texts if texts.count(x) > 1}) if len(texts) < 10_000 else []
+    place = {x: k for k, x in enumerate(shared)}
+
+    def letters(k: int) -> str:
+        return (letters(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+
+    def cell(reference: str, text: str) -> str:
+        if text in place:
+            return f'<c r="{reference}" t="s"><v>{place[text]}</v></c>'
+        return f'<c r="{reference}" t="inlineStr"><is><t>{escape(text)}</t></is></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        listed = "".join(f'<sheet name={quoteattr(n)} sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(contents, 1))
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(contents) + 1))
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{escape(x)}</t></si>" for x in shared) + "</sst>")
+        for k, rows in enumerate(contents.values(), 1):
+            body = "".join(f'<row r="{n}">' + "".join(cell(f"{letters(c)}{n}", x) for c, x in enumerate(row) if x is not None) + "</row>" for n, row in enumerate(rows, 1))
+            book.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+
+
 #: Headings of the columns, without blanks.
 NAME_HEADS, POPULATION_HEADS, SUB_HEADS = ("구분", "지역", "행정동"), ("총인구", "총계", "전체"), ("계", "소계", "총계")
 

@@ -127,3 +127,60 @@ def test_hexagons(spark):
     cx, cy = geometry.hex_center(q, r, 200.0)
     assert values(spark, F.hypot(cx - 1234.5, cy + 987.6))[0] <= 200.0
     assert values(spark, geometry.area(geometry.hex_ring(q, r, 200.0)))[0] == pytest.approx(1.5 * math.sqrt(3) * 200**2)
+
+
+def test_quantiles_are_exact_beyond_the_sketch(spark):
+    """More values than the sketch keeps, many ties, groups of one and of none."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    wide = np.round(rng.normal(size=60_000) ** 3, 2)
+    rows = spark.createDataFrame([("a", float(x)) for x in wide] + [("b", 1.0), ("c", None), (None, 5.0), (None, 7.0), ("d", 2.0), ("d", 2.0), ("d", 9.0)], "g string, x double").repartition(5)
+    parts = {f"q{k}": q for k, q in enumerate((0.0, 0.001, 0.25, 0.5, 0.8, 0.995, 1.0))}
+    got = {r.g: [r[n] for n in parts] for r in stats.quantiles(rows, {n: ("x", q) for n, q in parts.items()}, ["g"]).collect()}
+    want = {"a": wide, "b": [1.0], None: [5.0, 7.0], "d": [2.0, 2.0, 9.0]}
+    assert set(got) == set(want)
+    for g, values in want.items():
+        assert got[g] == pytest.approx(np.quantile(values, list(parts.values())).tolist(), abs=1e-12)
+    one = stats.quantile_values(rows.where("g = 'a'"), {"m": ("x", 0.5), "n": (F.col("x") * 2, 0.9)})
+    assert one == pytest.approx((np.quantile(wide, 0.5), 2 * np.quantile(wide, 0.9)))
+    assert stats.quantiles(rows.limit(0), {"m": ("x", 0.5)}).collect() in ([], [(None,)])
+
+
+def test_small_quantiles(spark):
+    import numpy as np
+
+    for n in range(1, 12):
+        values = [float(k * k % 7) for k in range(n)]
+        frame = spark.createDataFrame([(x,) for x in values], "x double")
+        qs = [0.0, 0.01, 0.1, 0.5, 0.75, 0.9, 0.99, 1.0]
+        assert stats.quantile_values(frame, {str(q): ("x", q) for q in qs}) == pytest.approx(np.quantile(values, qs).tolist(), abs=1e-12)
+
+
+def test_trapezoids_unite_overlaps_and_keep_holes():
+    from terrane.functions.union import trapezoids
+
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n)]
+    assert trapezoids([box(0, 0, 4, 4), box(2, 2, 6, 6)])[1] == pytest.approx(28)
+    holed = [box(0, 0, 4, 4), box(1, 1, 3, 3)[::-1]]
+    assert trapezoids(holed)[1] == pytest.approx(12)
+    assert trapezoids([*holed, box(1, 1, 2, 3)])[1] == pytest.approx(14)
+    assert trapezoids([[(0, 0), (4, 0), (2, 4)], [(0, 3), (2, -1), (4, 3)]])[1] == pytest.approx(trapezoids([[(0, 3), (2, -1), (4, 3)], [(0, 0), (4, 0), (2, 4)]])[1])
+    assert trapezoids([]) == ([], 0.0)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from terrane.functions import store
+
+    session = lambda master, named=None, checkpoint=None: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint)
+    )
+    with pytest.raises(RuntimeError):
+        store.shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        store.shared_dir(session("local-cluster[2,1,512]"))
+    assert store.shared_dir(session("yarn", named="hdfs://x/y/")) == "hdfs://x/y"
+    assert store.shared_dir(session("yarn", checkpoint="hdfs://x/z")) == "hdfs://x/z"
+    assert store.shared_dir(session("local[2]"))

@@ -194,3 +194,39 @@ def test_senior_and_robustness(spark):
     assert barred.minutes is None and barred.vulnerable and not barred.reachable
     assert [(r.hex_id, r.no_alternative, r.uses_steps) for r in sensitivity.steps_dependence(long).orderBy("hex_id").collect()] == [("a", False, True), ("b", False, False), ("c", True, True)]
     assert sensitivity.reordering(0.97, 0.9) == "reordered" and sensitivity.reordering(0.99, 0.81) == "stable"
+
+
+def test_nearest_far_clustered_and_missing(spark):
+    """Far points, thousands of targets at one spot, ties and missing places, against all pairs."""
+    import random
+
+    from terrane.operators import spatial
+
+    rng = random.Random(7)
+    targets = [(k, 1000 + rng.random(), 1000 + rng.random()) for k in range(1500)] + [(2000 + k, rng.uniform(0, 50_000), rng.uniform(0, 50_000)) for k in range(40)]
+    targets += [(5000, 10.0, 10.0), (4999, 10.0, 10.0), (6000, None, 3.0)]
+    points = [(k, rng.uniform(-20_000, 70_000), rng.uniform(-20_000, 70_000)) for k in range(60)] + [(100, 10.0, 10.0), (101, 1000.5, 1000.5), (102, None, 1.0)]
+    p = spark.createDataFrame(points, "id long, x double, y double")
+    t = spark.createDataFrame(targets, "t long, x double, y double")
+    got = {r.id: (r.t, r.distance) for r in spatial.nearest(p, t, "id", "t", 50.0).collect()}
+    want = {}
+    for k, x, y in points:
+        if x is not None:
+            d, best = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, n) for n, a, b in targets if a is not None)
+            want[k] = (best, d)
+    assert set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    none = spatial.nearest(p, t.limit(0), "id", "t", 50.0).collect()
+    assert len(none) == len(points) and all(r.t is None for r in none)
+
+
+def test_best_of_each_type(spark):
+    from terrane.operators import vulnerability
+
+    rows = [(f"h{k}", float(k % 10), float(k % 3), "ab"[k % 2]) for k in range(60)] + [("n", 99.0, 1.0, None)]
+    cells = spark.createDataFrame(rows, "hex_id string, vulnerability_m3_final double, registered_population double, vulnerability_type string")
+    got = vulnerability.leading_by_type(cells, 4).collect()
+    for name in ("all", "a", "b"):
+        own = [r for r in rows if r[3] is not None and name in ("all", r[3])]
+        want = [r[0] for r in sorted(own, key=lambda r: (-r[1], -r[2], r[0]))[:4]]
+        assert [r.hex_id for r in sorted((r for r in got if r["list"] == name), key=lambda r: r.rank)] == want
