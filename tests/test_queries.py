@@ -44,6 +44,26 @@ def test_query(spark, duck, name):
     assert plain(tuple(r) for r in got.select([f"`{c}`" for c in columns]).collect()) == plain(want.fetchall())
 
 
+def test_entry_point_with_the_pipeline_but_without_the_subpackage(tmp_path):
+    """An empty folder of the subpackage is none; an error inside it is not passed over."""
+    (tmp_path / "terrane").mkdir()
+    for part in (ROOT / "terrane").iterdir():
+        if part.name not in ("llm", "__pycache__"):
+            (tmp_path / "terrane" / part.name).symlink_to(part)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            (tmp_path / name).write_text((ROOT / name).read_text())
+    run = lambda code: subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    code = "import __spark_entry__ as e; assert 'r08_vulnerability' in e.queries() and not any(n.startswith('op') for n in e.queries())"
+    assert run(code).returncode == 0
+    (tmp_path / "terrane" / "llm" / "__pycache__").mkdir(parents=True)
+    assert run(code).returncode == 0
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    (tmp_path / "terrane" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "terrane" / "llm" / "queries.py").write_text("import no_such_module")
+    assert "no_such_module" in run(code).stderr
+
+
 def test_entry_point_without_the_optional_parts(tmp_path):
     for part in ("__spark_entry__.py", "terrane"):
         (tmp_path / part).symlink_to(ROOT / part) if part.endswith(".py") else None
