@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -133,6 +134,41 @@ def theil(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     return some.agg(ratio(F.sum(F.col("w") * r * F.log(r)), F.sum("w")).alias("value"))
 
 
+def inequality(df: DataFrame, pairs: Mapping[str, tuple[str, str]], percent: float) -> dict[str, dict[str, float | None]]:
+    """For every pair (value, weight) the weighted percentile, Gini and Theil, as the functions above give them, with one running total for all.
+
+    Pairs are numbered and placed one after another; what comes before a pair is taken off its sums.
+    """
+    names = list(pairs)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.col(v).cast("double").alias("x"), F.col(w).cast("double").alias("w")) for k, (v, w) in enumerate(pairs.values()))))
+    some = df.select(each.alias("e")).select("e.*").where("x is not null and w is not null").groupBy("m", "x").agg(F.sum("w").alias("w"))
+    placed = running_total(some, [F.col("m"), F.col("x")], {"cw": F.col("w"), "cxw": F.col("x") * F.col("w")})
+    x, w = F.col("x"), F.col("w")
+    positive = (x > 0) & (w > 0)
+    sums = placed.groupBy("m").agg(
+        F.sum(w).alias("sw"), F.sum(x * w).alias("sxw"), F.sum(F.when(positive, w)).alias("pw"), F.sum(F.when(positive, x * w)).alias("pxw"), F.sum(F.when(positive, w * x * F.log(x))).alias("plog")
+    )  # a row for each pair
+    before = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"bw": F.coalesce(F.sum("sw").over(before), F.lit(0.0)), "bxw": F.coalesce(F.sum("sxw").over(before), F.lit(0.0))})
+    met = placed.join(F.broadcast(sums), "m")
+    area = F.sum((w / F.col("sw")) * (2 * (F.col("cxw") - F.col("bxw")) - x * w) / (2 * F.col("sxw")))
+    found = met.groupBy("m").agg(
+        F.min(F.when(F.col("cw") - F.col("bw") >= percent / 100 * F.col("sw"), x)).alias("percentile"), (1 - 2 * area).alias("gini"),
+        *(F.first(c).alias(c) for c in ("sw", "sxw", "pw", "pxw", "plog")),
+    )
+    out = {n: {"percentile": None, "gini": None, "theil": None} for n in names}
+    for r in found.collect():  # a row for each pair
+        own = out[names[r["m"]]]
+        if r["sw"] and r["sw"] > 0:
+            own["percentile"] = r["percentile"]
+        if r["sw"]:
+            own["gini"] = r["gini"] if r["sxw"] else 0.0
+        if r["pw"]:
+            # the mean of r ln r for r = x / mean
+            own["theil"] = r["plog"] / r["pxw"] - math.log(r["pxw"] / r["pw"])
+    return out
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: Pearson of average ranks; each column is ranked over its own values, rows with both count."""
     ranked = average_ranks(df.select(a, b), {a: "_ra", b: "_rb"})

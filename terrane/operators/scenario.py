@@ -79,15 +79,17 @@ def evaluate(cells: DataFrame, baseline: FrozenBaseline, base: str, scenario: st
         stats.flagged_reduction("_was", "_now", population).alias("people"), stats.flagged_reduction("_was", "_now", senior).alias("seniors"),
         *(stats.weighted_mean(c, w).alias(f"{p}{c}") for p, w in weights.items() for c in (base, scenario)),
     ).first()
-    one = lambda df: df.first()[0]
+    pairs = {f"{p}{c}": (c, w) for p, w in weights.items() if w for c in (base, scenario)}
+    held = stats.inequality(cells, pairs, 90)
+    plain = dict(zip((base, scenario), stats.quantile_values(cells, {"base": (base, 0.9), "scenario": (scenario, 0.9)}), strict=True))
     out: dict[str, float | int | str | None] = {"scenario_name": name, "baseline_vulnerable_count": row["was"], "scenario_vulnerable_count": row["now"]}
     for prefix, w in weights.items():
         out[f"{prefix}mean_cost_reduction"] = stats.reduction(row[f"{prefix}{base}"], row[f"{prefix}{scenario}"])
-        out[f"{prefix}p90_cost_reduction"] = stats.reduction(*(one(stats.weighted_percentile(cells, c, 90, w)) for c in (base, scenario)))
-    change = lambda f: (lambda x, y: None if x is None or y is None else y - x)(*(one(f(cells, c, population)) for c in (base, scenario)))
+        out[f"{prefix}p90_cost_reduction"] = stats.reduction(*(held[f"{prefix}{c}"]["percentile"] if w else plain[c] for c in (base, scenario)))
+    change = lambda f: (lambda x, y: None if x is None or y is None else y - x)(*(held[f"population_weighted_{c}"][f] for c in (base, scenario)))
     return out | {
         "vulnerable_hex_reduction": row["cells"], "vulnerable_population_reduction": row["people"], "senior_vulnerable_population_reduction": row["seniors"],
-        "gini_change": change(stats.gini), "theil_change": change(stats.theil),
+        "gini_change": change("gini"), "theil_change": change("theil"),
     }
 
 

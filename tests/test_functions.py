@@ -184,3 +184,18 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
     assert store.shared_dir(session("yarn", named="hdfs://x/y/")) == "hdfs://x/y"
     assert store.shared_dir(session("yarn", checkpoint="hdfs://x/z")) == "hdfs://x/z"
     assert store.shared_dir(session("local[2]"))
+
+
+def test_inequality_of_several_pairs_at_once(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice([0.0, 1.0, 2.5, 7.0, 90.0]) if rng.random() < 0.9 else None, rng.uniform(0, 100), float(rng.randrange(0, 9)), rng.choice([None, 1.0, 3.0])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, p double, q double").repartition(4)
+    pairs = {"ap": ("a", "p"), "bp": ("b", "p"), "aq": ("a", "q"), "bq": ("b", "q")}
+    got = stats.inequality(df, pairs, 90)
+    for name, (v, w) in pairs.items():
+        assert got[name]["percentile"] == stats.weighted_percentile(df, v, 90, w).first()[0]
+        assert got[name]["gini"] == pytest.approx(stats.gini(df, v, w).first()[0], abs=1e-12)
+        assert got[name]["theil"] == pytest.approx(stats.theil(df, v, w).first()[0], abs=1e-12)
+    assert stats.inequality(df.limit(0), {"x": ("a", "p")}, 90) == {"x": {"percentile": None, "gini": None, "theil": None}}
