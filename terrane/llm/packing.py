@@ -64,7 +64,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
         while size := longest(gap):
             bin_.append((size, take(size)))
             gap -= size
-        while gap and len(bin_) > 1 and len(sizes):
+        while gap and len(sizes):
             small, piece = min(bin_)
             room = gap + small
             # for each length the longest partner that still fits; a pair of equals needs two pieces
