@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm import _store
+
 
 @dataclass(frozen=True)
 class ReputationRules:
@@ -42,8 +44,23 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def by_list(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """host, domain, suffix of hosts (distinct) whose end is one of the listed public suffixes (a column of any name), by the longest; others are left out."""
+    name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":[0-9]*$", "")
+    parts = hosts.select("host", F.split(name, r"\.").alias("_p")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_p"))))
+    tails = parts.withColumn("_tail", F.array_join(F.slice("_p", F.size("_p") - F.col("_k") + 1, F.col("_k")), "."))
+    listed = suffixes.select(F.lower(F.col(suffixes.columns[0])).alias("_tail")).where("_tail is not null").distinct()
+    best = tails.join(listed, "_tail").groupBy("host").agg(F.max(F.struct("_k", "_tail", "_p")).alias("_b"))
+    own = F.array_join(F.slice("_b._p", F.greatest(F.size("_b._p") - F.col("_b._k"), F.lit(1)), F.size("_b._p")), ".")
+    return best.select("host", own.alias("domain"), F.col("_b._tail").alias("suffix"))
+
+
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host, without user part and port; an address in numbers is its own domain."""
+    """Registered domain and suffix of a host, without user part and port; an address in numbers is its own domain.
+
+    Without a list of public suffixes the last label is the suffix, or the last
+    two where a country's label follows one of SECOND_LEVEL.
+    """
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
     parts = F.split(name, r"\.")
     second = F.element_at(parts, -2)
@@ -77,12 +94,16 @@ def _strength(groups: DataFrame, rules: ReputationRules) -> tuple[float, float]:
     return (got["k"] + 1.0) / (n + 2.0), max(min(strength, rules.most_strength, n), rules.least_strength)
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", page: str = "page_id", rules: ReputationRules = ReputationRules()) -> DataFrame:
+def host_reputation(
+    pages: DataFrame, outcomes: DataFrame, url: str = "url", page: str = "page_id", rules: ReputationRules = ReputationRules(), suffixes: DataFrame | None = None
+) -> DataFrame:
     """host, domain, suffix, n (labelled pages), k (bad ones), rate (posterior mean), bound (its lower bound), blocked: a row per host.
 
     outcomes has (page id, bad 0/1); several outcomes of a page count as bad if
     any is; null outcomes don't count. Pages without an outcome add their host
-    with no evidence. Repeated rows of pages count each time.
+    with no evidence. Repeated rows of pages count each time. `suffixes` lists
+    public suffixes (one column); without it, levels() tells domains by rule.
+    The bound is the mean less z standard deviations of the beta posterior.
     """
     host, _ = split_url(F.col(url))
     labels = outcomes.toDF("_page", "_bad").where("_bad is not null").groupBy("_page").agg(F.max(F.col("_bad").cast("int")).alias("_bad"))
@@ -90,6 +111,10 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", pag
     hosts = seen.groupBy("host").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("k"))
     domain, suffix = levels(F.col("host"))
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
+    if suffixes is not None:
+        known = by_list(hosts.select("host"), suffixes).withColumnsRenamed({"domain": "_domain", "suffix": "_suffix"})
+        hosts = hosts.join(known, "host", "left").select("host", F.coalesce("_domain", "domain").alias("domain"), F.coalesce("_suffix", "suffix").alias("suffix"), "n", "k")
+    hosts = _store.stored(hosts, "hosts")  # read for the moments of each level
     total = lambda *by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     domains, suffixes = total("domain", "suffix"), total("suffix")
     mean, by_suffix = _strength(suffixes, rules)
@@ -103,7 +128,9 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, url: str = "url", pag
     return rated.select("host", "domain", "suffix", "n", "k", "rate", "bound", (F.col("bound") > rules.limit).alias("blocked"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", page: str = "page_id", rules: ReputationRules = ReputationRules()) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, outcomes: DataFrame, url: str = "url", page: str = "page_id", rules: ReputationRules = ReputationRules(), suffixes: DataFrame | None = None
+) -> DataFrame:
     """page_id, host, path, rule, verdict, reputation bound of every page.
 
     A fitting rule decides, the longest first; else the host's reputation. A
@@ -113,7 +140,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, url: str = "url", page: s
     host, path = split_url(F.col(url))
     judged = pages.select(F.col(page).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    known = host_reputation(pages, outcomes, url, page, rules).select("host", "bound", "blocked")
+    # written first, so that the join can deal out the pages of one large host to several tasks
+    known = _store.stored(host_reputation(pages, outcomes, url, page, rules, suffixes).select("host", "bound", "blocked"), "reputation")
     return judged.join(known, "host").select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "bound",

@@ -124,6 +124,20 @@ def test_reputation(spark):
     assert urls.filter_urls(frame.limit(0), labels).count() == 0
 
 
+def test_listed_suffixes(spark):
+    names = ["a.blogspot.com", "b.blogspot.com", "x.y.gob.mx", "plain.org", "gob.mx", "www.Shop.co.uk:80"]
+    hosts = spark.createDataFrame([(h.lower(),) for h in names], "host string")
+    listed = spark.createDataFrame([("blogspot.com",), ("com",), ("gob.mx",), ("mx",), (None,), ("co.uk",)], "name string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.by_list(hosts, listed).collect()}
+    assert got == {
+        "a.blogspot.com": ("a.blogspot.com", "blogspot.com"), "b.blogspot.com": ("b.blogspot.com", "blogspot.com"), "x.y.gob.mx": ("y.gob.mx", "gob.mx"),
+        "gob.mx": ("gob.mx", "gob.mx"), "www.shop.co.uk:80": ("shop.co.uk", "co.uk"),
+    }
+    pages = spark.createDataFrame([(k, f"http://{h}/") for k, h in enumerate(names)], "page_id long, url string")
+    rated = {r.host: r.domain for r in urls.host_reputation(pages, spark.createDataFrame([(0, 1)], "page_id long, bad int"), suffixes=listed).collect()}
+    assert rated["a.blogspot.com"] == "a.blogspot.com" and rated["plain.org"] == "plain.org"
+
+
 def test_levels(spark):
     rows = [("www.example.co.uk:8080",), ("a.b.example.com",), ("com",), ("10.0.0.1",), ("u@x.de",), ("",)]
     frame = spark.createDataFrame(rows, "host string")
