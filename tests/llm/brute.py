@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import zstandard
+
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
@@ -32,6 +34,23 @@ def quality(text):
     return len(found), sum(map(len, found)), symbols, len(lines) - len(set(lines)), len(covered), failed
 
 
+def kept(text, rules):
+    """The verdict of the quality rules: base rules, the band of the whole text, of every chunk, and of a short rest."""
+    if quality(text)[-1]:
+        return False
+    data = text.encode()
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=rules.level).compress(x)) / len(x)
+    band = lambda n: [b for b in rules.bands if b.least_bytes <= n][-1]
+    inside = lambda x, b: b.low <= ratio(x) <= b.high
+    if not inside(data, band(len(data))):
+        return False
+    while data:
+        part, data = data[: rules.chunk_bytes], data[rules.chunk_bytes :]
+        if not inside(part, rules.chunk if len(part) >= rules.least_chunk_bytes else band(len(part))):
+            return False
+    return True
+
+
 def contamination(docs, items, width=10):
     def split(text):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))

@@ -1,29 +1,29 @@
 """The pipeline against a plain version of its stages, and the registered queries' columns."""
 
 import zlib
+from collections import defaultdict
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from terrane.llm import queries, quality, secrets
+from terrane.llm import queries, quality
 from tests.llm import brute
+from tests.llm.test_scans import plain_spans
 
 SF = "/root/testdata/sf0.001"
 
 
 def plain(docs, items):
     rules = quality.CompressionRules()
-    kept = quality.measure(pa.array([t or "" for _, t in docs], type=pa.large_string()), rules)["kept"]
-    docs = [d for d, k in zip(docs, kept, strict=True) if k]
+    docs = [(doc, text) for doc, text in docs if brute.kept(text, rules)]
     docs = [d for d, (doc, _, first) in zip(docs, brute.jaccard_components(docs), strict=True) if doc == first]
     docs = [d for d, x in zip(docs, brute.contamination(docs, items), strict=True) if not x[5]]
     out = []
     for doc, text in docs:
-        spans = secrets.scan(pa.array([text], type=pa.large_string()), secrets.SecretRules())[0]
+        spans = plain_spans(text)
         hidden = set()
         for _, a, b in spans:
             hidden.update(range(a, b))
@@ -56,6 +56,12 @@ def test_pipeline(spark):
             want.append((doc, k // 4096, k, len(part), zlib.crc32(part.tobytes())))
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for a, n in own if a < at) for at, _ in sorted(own)] and sum(n for _, n in own) <= 4096
+    assert len(places) <= 1 + -(-sum(r.length for r in got) // 4096)
 
 
 def test_stages_keep_the_columns(spark):

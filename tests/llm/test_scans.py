@@ -55,6 +55,20 @@ def test_quality_junk_in_a_short_rest(spark):
     assert got == {k: k % 3 == 0 for k in range(len(tails))} | {99: True}
 
 
+def test_quality_verdict_against_a_plain_version(spark):
+    """Every document of the small table, and junk cut into texts at odd places."""
+    rules = quality.CompressionRules()
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    long = max((t or "" for _, t in rows), key=len)
+    for k, size in enumerate((60, 300, 2040, 2060, 4090, 5000)):
+        at = rng.randrange(0, max(1, len(long) - size))
+        rows.append((10_000 + k, long[:at] + "".join(rng.choices("abcdefghij0123456789XYZ", k=size)) + long[at:]))
+        rows.append((20_000 + k, long[: 4096 * (k % 3 + 1)] + "same words again and again " * (size // 27)))
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: brute.kept(t or "", rules) for k, t in rows} and 20 < sum(got.values()) < len(rows)
+
+
 def test_quality_empty_table(spark):
     assert quality.quality_rules(frame(spark, [])).count() == 0
 
