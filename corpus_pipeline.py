@@ -1,4 +1,8 @@
-"""Training-data pipeline over `documents`: five stages, each reading what the one before wrote."""
+"""Training-data pipeline over `documents`: five stages, each reading what the one before wrote.
+
+All stages take doc_id and text, which may be null, empty, very long or repeated,
+and an empty table; any other columns stay as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +17,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the compression bands keep."""
+    """Documents that the base rules and the compression bands keep; null and empty texts fail the base rules, repeated rows are judged alike."""
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones: that with the least id."""
+    """One document of each component of similar ones: that with the least id (null last; of repeated rows one). Rows without words are like no other and all stay."""
     return neighbours.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; texts without words hold none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination.find_contamination(docs, benchmark).where("n_hit = 0").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, with secrets replaced by a mark; null texts stay null. A column n_chars follows the text, where there is one."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
+    """The pieces of all documents and their places in training sequences; a null or empty text is its end id alone, repeated rows are packed each by itself."""
     return packing.pack(docs, tokens.word_bpe())
 
 
