@@ -1,11 +1,13 @@
 """The pipeline against a plain version of its stages, and the registered queries' columns."""
 
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -73,6 +75,11 @@ def test_stages_keep_the_columns(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, frame, SF).columns == docs.columns
             stage(spark, frame, SF).collect()
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length) for r in packed) == [(0, 0, 0, 41), (1, 0, 0, 1), (2, 0, 0, 1)]
+    assert corpus_pipeline.best_fit_packing(spark, docs.limit(0), SF).count() == 0
+    plain_columns = docs.select("doc_id", "text", F.col("lang").alias("secrets"))
+    assert corpus_pipeline.secret_scan(spark, plain_columns, SF).columns == plain_columns.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_scan", "best_fit_packing"]
 
 
@@ -102,3 +109,18 @@ def test_against_sql(spark, name):
     assert sorted(columns) == sorted(got.columns)
     key = lambda row: tuple((x is None, x) for x in row)
     assert sorted((tuple(r) for r in got.select(columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_stages_on_a_very_long_text(spark):
+    """A document over a slice of bytes passes every stage whole."""
+    rng = random.Random(3)
+    syllables = [a + b for a in "bdfgklmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "en", "in", "on", "or", "er", "al")]
+    words = ["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(900_000)]
+    text = " ".join(words)
+    assert len(text) > 4 << 20
+    docs = spark.createDataFrame([(1, text + " token=abcdefghijklmnop1"), (2, text + " " + words[0]), (3, " ".join(words[:40][::-1]))], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 3]
+    clean = corpus_pipeline.secret_scan(spark, corpus_pipeline.decontamination(spark, kept, SF), SF).collect()
+    assert {r.doc_id: r.text for r in clean} == {1: text + " [SECRET]", 3: " ".join(words[:40][::-1])}
+    assert sum(r.length for r in corpus_pipeline.best_fit_packing(spark, kept.where("doc_id = 1"), SF).collect()) > 900_000
