@@ -45,12 +45,12 @@ class SubstringRules:
     slice_bytes: int = 8 << 20
 
 
-def _minimisers(found: words.Words, codes: np.ndarray, distinct: pa.Array, rules: SubstringRules, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _minimisers(found: words.Words, rules: SubstringRules, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows' first words, each window's least seed (order value), and that seed's place."""
     starts = found.windows(rules.window)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), starts
-    value = words.rolled(words.hashes(distinct)[codes], rules.seed) >> np.uint64(1)
+    value = words.rolled(found.fast_hashes(), rules.seed) >> np.uint64(1)
     if len(hot):
         spot = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
         value = np.where(hot[spot] == value, value | np.uint64(1 << 63), value)
@@ -74,8 +74,7 @@ def _heavy(column: pa.Array, rules: SubstringRules) -> Iterator[tuple[np.ndarray
     """By slice: seeds with a notable share of its super-k-mers, how often, the number of super-k-mers, bytes of words."""
     for low, high in words.slices(column):
         found = words.Words(column.slice(low, high - low))
-        codes, distinct = found.coded()
-        _, value, place = _minimisers(found, codes, distinct, rules, np.zeros(0, np.uint64))
+        _, value, place = _minimisers(found, rules, np.zeros(0, np.uint64))
         if not len(value):
             continue
         new = np.ones(len(place), dtype=bool)
@@ -106,8 +105,7 @@ def _joined(found: words.Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def pack(doc_ids: np.ndarray, keys: np.ndarray, column: pa.Array, rules: SubstringRules, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """Blobs of a slice: (bucket, super-k-mers), and (-1 - n, runs already known to be repeats)."""
     found = words.Words(column)
-    codes, distinct = found.coded()
-    starts, value, place = _minimisers(found, codes, distinct, rules, hot)
+    starts, value, place = _minimisers(found, rules, hot)
     if not len(starts):
         return
     text = found.text_of()[starts]
@@ -168,9 +166,9 @@ def repeats_in_bucket(blobs: list[bytes], rules: SubstringRules) -> np.ndarray:
     doc, key, begin = doc[order], key[order], begin[order]
     found = words.Words(pa.array([parts[k] for k in order.tolist()], type=pa.large_binary()))
     del parts
-    codes, distinct = found.coded()
+    codes, _ = found.coded()
     starts = found.windows(rules.window)
-    keys = words.rolled(words.hashes(distinct)[codes], rules.window)[starts]
+    keys = words.rolled(found.fast_hashes(), rules.window)[starts]
     ranked, new = words.grouped(keys, codes, starts, rules.window)
     repeat = np.zeros(len(starts), dtype=bool)
     repeat[ranked[~new]] = True  # packed strings stand in order of document and place, and sorting is stable
@@ -267,7 +265,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return pa.table({"_id": doc, "_key": key, "begin": begin, "count": count})
 
     blobs = rows.select("_id", "_key", "_text").mapInArrow(to_blobs, "bucket long, blob binary")
-    runs = blobs.groupBy("bucket").applyInArrow(to_runs, "_id long, _key long, begin long, count long")
+    runs = _store.dealt(blobs, buckets).groupBy("bucket").applyInArrow(to_runs, "_id long, _key long, begin long, count long")
     runs = runs.groupBy("_id", "_key").agg(F.collect_list(F.struct("begin", "count")).alias("_runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
