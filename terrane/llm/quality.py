@@ -62,12 +62,12 @@ FIELDS = (
 
 def _repeated(found: words.Words, size: int) -> np.ndarray:
     """Which words lie in a window that its text holds at least twice."""
-    codes, distinct = found.coded()
+    codes, _ = found.coded()
     starts = found.windows(size)
     if not len(starts):
         return np.zeros(len(found), dtype=bool)
     text = found.text_of()
-    keys = words.rolled(words.hashes(distinct)[codes], size)[starts] + words.mix(text[starts].astype(np.uint64) + np.uint64(1))
+    keys = words.rolled(found.fast_hashes(), size)[starts] + words.mix(text[starts].astype(np.uint64) + np.uint64(1))
     # the text's number takes part as one more word, so equal windows of two texts stay apart
     order, new = words.grouped(keys, codes, starts, size)
     alone = new.copy()
