@@ -424,11 +424,11 @@ def similar(left: pa.Array, right: pa.Array, rules: JaccardRules) -> np.ndarray:
     """Which pairs of texts are similar, by their words. Texts shorter than a shingle are not like any other set."""
     both = pa.concat_arrays([left, right])
     found = words.Words(both, words.SPACED, lower=True)
-    codes, distinct = found.coded()
+    codes, _ = found.coded()
     starts = found.windows(rules.shingle)
     if not len(starts):
         return np.zeros(len(left), dtype=bool)
-    order, new = words.grouped(words.rolled(words.hashes(distinct)[codes], rules.shingle)[starts], codes, starts, rules.shingle)
+    order, new = words.grouped(words.rolled(found.fast_hashes(), rules.shingle)[starts], codes, starts, rules.shingle)
     name = np.empty(len(starts), dtype=np.int64)
     name[order] = np.cumsum(new) - 1
     of, total = found.text_of()[starts], int(name.max()) + 1
@@ -556,7 +556,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, rules: JaccardRules) -> t
         return meet({c: table.column(c).to_numpy() for c in MEMBER.names})
 
     pairs = "a long, b long, large boolean, cell long, n long, rest long"
-    met = _store.stored(lists.mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(meet_packed, pairs), "met")
+    met = _store.stored(_store.dealt(lists.mapInArrow(deal, "bucket long, blob binary"), buckets).groupBy("bucket").applyInArrow(meet_packed, pairs), "met")
     first = met.where("not large").select("a", "b")
     members = met.where("large").select("cell", F.col("a").alias("short"), "n", "rest")
     if estimates:
@@ -668,11 +668,11 @@ def block_links(column: pa.Array, group: np.ndarray, block: np.ndarray, weight:
     """Summed weights of the texts of the same group similar to each one: those of the other block, or of its own if the group has one only. Rows of a group stand together."""
     links = np.zeros(len(column), dtype=np.int64)
     found = words.Words(column, words.SPACED, lower=True)
-    codes, distinct = found.coded()
+    codes, _ = found.coded()
     starts = found.windows(rules.shingle)
     if not len(starts):
         return links
-    order, new = words.grouped(words.rolled(words.hashes(distinct)[codes], rules.shingle)[starts], codes, starts, rules.shingle)
+    order, new = words.grouped(words.rolled(found.fast_hashes(), rules.shingle)[starts], codes, starts, rules.shingle)
     name = np.empty(len(starts), dtype=np.int64)
     name[order] = np.cumsum(new) - 1
     total = int(name.max()) + 1
