@@ -215,14 +215,30 @@ def _pass(column: pa.Array, spans: pa.Array, items: pa.Array, index: Index) -> t
     return found.count, _lists(np.searchsorted(of, np.arange(len(column) + 1)), new_spans), pa.array([sorted(x) for x in own], type=pa.list_(pa.string()))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def pieces(body: str, window: int, limit: int) -> list[str]:
+    """A text of more than `limit` bytes in pieces of about that size that share window - 1 words with the next one, so that each window lies in a piece."""
+    if len(body) * 4 <= limit or len(body.encode()) <= limit:
+        return [body]
+    found = words.Words(pa.array([body], type=pa.large_string()), words.ALNUM)
+    size = max(2 * window, limit // 16)
+    if len(found) <= size:
+        return [body]
+    data, out = found.data.tobytes(), []
+    for start in range(0, len(found) - window + 1, size - window + 1):
+        out.append(data[found.begin[start] : found.end[min(start + size, len(found)) - 1]].decode())
+    return out
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, rules: ContaminationRules) -> Iterator[list[tuple[str, str]]]:
+    """Items of some `block_bytes` together; a longer item is in several blocks, piece by piece."""
     block, size = [], 0
     for name, body in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), text).where(F.col(text).isNotNull()).toLocalIterator():
-        block.append((name, body))
-        size += len(body.encode())
-        if size >= limit:
-            yield block
-            block, size = [], 0
+        for piece in pieces(body, rules.window, rules.block_bytes):
+            block.append((name, piece))
+            size += len(piece.encode())
+            if size >= rules.block_bytes:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
@@ -256,12 +272,13 @@ def find_contamination(
     names = [*keep, "__terrane_text", "__terrane_n", "__terrane_spans", "__terrane_items"]
     schema = state.schema
     blocks = 0
-    for block in _blocks(benchmark, item, item_text, rules.block_bytes) if benchmark.columns else ():
+    for block in _blocks(benchmark, item, item_text, rules) if benchmark.columns else ():
         index = build(block, rules.window)
         if not len(index.words):
             continue
         if blocks:  # one index at a time is held by the tasks
             state = _store.stored(state, "contamination")
+            ready.destroy()
         blocks += 1
         sent = spark.sparkContext.broadcast(index)
 
@@ -275,6 +292,7 @@ def find_contamination(
         counts = np.zeros(len(index.shingles), dtype=np.int64)
         for place, n in state.select("__terrane_text").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n")).collect():
             counts[place] = n
+        sent.destroy()
         choose_prefix(index, counts)
         ready = spark.sparkContext.broadcast(index)
 

@@ -91,6 +91,19 @@ def test_contamination(spark, block):
         assert sum(s.stop - s.begin for s in r.hits) == r.n_hit
 
 
+def test_long_items_in_pieces(spark):
+    """Every window of an item longer than a block is found, and no other."""
+    rng = random.Random(13)
+    item = [f"w{rng.randrange(500)}é" for _ in range(700)]
+    assert len(contamination.pieces(" - ".join(item), 10, 400)) > 10
+    docs = [(k, " ".join(["x"] * 3 + item[k : k + 10] + ["y"] * 3)) for k in range(0, 690, 7)] + [(1000 + k, " ".join(item[k : k + 9])) for k in range(0, 690, 50)]
+    bench = [(1, " - ".join(item)), (2, "short one")]
+    rules = contamination.ContaminationRules(block_bytes=400)
+    got = contamination.find_contamination(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"), keep=["doc_id"], rules=rules).collect()
+    want = {x[0]: x[1:] for x in brute.contamination(docs, bench)}
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), brute.sha(",".join(sorted(r["items"]))), r.n_hit > 0) for r in got} == want
+
+
 def test_contamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     got = contamination.find_contamination(frame(spark, [(1, "a b c"), (2, None)]), none, keep=["doc_id"]).collect()
