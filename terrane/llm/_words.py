@@ -7,12 +7,36 @@ of 256 booleans decides. Texts are handled whole, a slice of rows at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+
+
+def _c_library() -> ctypes.CDLL | None:
+    """The C library, told to return arrays of 4 MB and more to the system once they are freed; else it comes to keep ever larger ones for later."""
+    try:
+        library = ctypes.CDLL("libc.so.6")
+        library.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+        return library
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+_LIBRARY = _c_library()
+
+
+def trim() -> None:
+    """Return free memory to the system: other workers of the executor share it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBRARY is not None:
+        _LIBRARY.malloc_trim(0)
+
+
 #: Bytes of text handled at once; a single longer text forms its own slice.
 SLICE_BYTES = 4 << 20
 
@@ -56,7 +80,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         high = min(max(high, low + 1), len(column))
         yield low, high
         low = high
-        pa.default_memory_pool().release_unused()
+    trim()
 
 
 #: Bytes of a word that are hashed without a call for each.

@@ -84,6 +84,7 @@ class Encoder:
             model.no_padding()
             self._tokenize = model.model.tokenize
             self._encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        words.trim()  # reading the file takes far more than what stays
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [array("I", x).tobytes() for x in self._encode(texts)]
