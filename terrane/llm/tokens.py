@@ -122,10 +122,14 @@ class Encoder:
         begin = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(of), dtype=np.uint32)
         count = size[codes]
-        ids = flat[np.repeat(begin[codes], count) + words.ramp(count)] if len(codes) else flat
         total = np.zeros(len(codes) + 1, dtype=np.int64)
         np.cumsum(count, out=total[1:])
-        return ids, total[opens]
+        if not len(codes):
+            return flat, total[opens]
+        kind = np.int32 if max(int(total[-1]), len(flat)) < 1 << 31 else np.int64
+        at = np.repeat((begin[codes] - total[:-1]).astype(kind), count)
+        at += np.arange(int(total[-1]), dtype=kind)
+        return flat[at], total[opens]
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
@@ -156,7 +160,8 @@ def parts(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     data, begin, end = found.data, found.begin, found.end
     if not len(begin):
         return np.zeros(0, np.int64), pa.array([], type=pa.large_string()), np.zeros(len(column) + 1, np.int64)
-    several = lambda marks: np.append(0, np.cumsum(marks))
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    several = lambda marks: np.append(kind(0), np.cumsum(marks, dtype=kind))
     wide, special = several(data >= 0x80), several((data == 0x3C) & (np.append(data[1:], 0) == 0x7C))
     whole = special[end] > special[begin]
     as_is = whole | (wide[end] > wide[begin])
@@ -167,7 +172,7 @@ def parts(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         change[end[as_is]] -= 1
         inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
         low[inside] = data[inside]
-    solid = np.maximum.accumulate(np.where(_AFTER[data], -1, np.arange(len(data))))  # the last place that is no such punctuation
+    solid = np.maximum.accumulate(np.where(_AFTER[data], kind(-1), np.arange(len(data), dtype=kind)))  # the last place that is no such punctuation
     cut = np.maximum(solid[end - 1] + 1, begin)
     last, before = data[np.maximum(cut - 1, 0)], data[np.maximum(cut - 2, 0)]
     letter = _ALNUM[last] | ((cut > begin + 1) & (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))  # U+00C0 to U+00FF but for two signs
