@@ -147,7 +147,7 @@ def reach_gaps(spark, sf_dir):
     """Nodes in a circle that are out of reach by detour or by slope, on a network of direct streets, flat 1.2 and hard 2 times as long as the crow flies."""
     n = view(spark, sf_dir, "nodes")
     streets = spatial.within_distance(n.select(F.col("node_id").alias("u"), "x", "y"), n.select(F.col("node_id").alias("v"), "x", "y"), 900.0).where("u != v")
-    streets = streets.select("u", "v", (F.col("distance") * 1.2).alias("cost_m0"), (F.col("distance") * 2).alias("cost_m3"))
+    streets = streets.select("u", "v", "distance", (F.col("distance") * 1.2).alias("cost_m0"), (F.col("distance") * 2).alias("cost_m3"))
     return routing.reach_gaps(n, streets, n.select(F.col("node_id").alias("node")), 900.0)
 
 

@@ -230,3 +230,33 @@ def test_best_of_each_type(spark):
         own = [r for r in rows if r[3] is not None and name in ("all", r[3])]
         want = [r[0] for r in sorted(own, key=lambda r: (-r[1], -r[2], r[0]))[:4]]
         assert [r.hex_id for r in sorted((r for r in got if r["list"] == name), key=lambda r: r.rank)] == want
+
+
+def test_reach_gaps_by_direct_streets(spark, monkeypatch):
+    """A street between all pairs in the circle: no source needs more than its own streets, or a round would try every two of them."""
+    spots = {k: (float(k * 37 % 101), float(k * 61 % 97)) for k in range(120)}
+    nodes = spark.createDataFrame([(k, *p) for k, p in spots.items()], "node_id long, x double, y double")
+    d = {(a, b): ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 for a, p in spots.items() for b, q in spots.items()}
+    near = {k: v for k, v in d.items() if v <= 30}
+    streets = spark.createDataFrame([(a, b, v * 1.2, v * 2) for (a, b), v in near.items() if a != b], "u long, v long, cost_m0 double, cost_m3 double")
+    want = [(a, b, "reached" if 2 * v <= 30 else "slope" if 1.2 * v <= 30 else "detour") for (a, b), v in sorted(near.items())]
+    asked = nodes.select(F.col("node_id").alias("node"))
+
+    def routed(*args):
+        raise AssertionError("routed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(routing, "reach_within", routed)
+        assert rows(routing.reach_gaps(nodes, streets, asked, 30.0), "source", "node") == want
+    # without one street its end is reached by two others, if at all; parallel streets count once
+    lost = next(k for k, v in near.items() if k[0] != k[1] and v <= 14 and any(near.get((k[0], m), 99) + near.get((m, k[1]), 99) <= 15 for m in spots if m not in k))
+    assert rows(routing.reach_gaps(nodes, streets.where(~((F.col("u") == lost[0]) & (F.col("v") == lost[1]))), asked, 30.0), "source", "node") == want
+    assert rows(routing.reach_gaps(nodes, streets.union(streets.where("u < 3")), asked, 30.0), "source", "node") == want
+
+
+def test_reach_gaps_by_shortcuts(spark):
+    """Ways under the straight distance lead round the circle; a node without a place may lie on one."""
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 25.0, 0.0), (3, 5.0, 0.0), (4, None, None)], "node_id long, x double, y double")
+    streets = spark.createDataFrame([(1, 2, 1.0, 9.0), (2, 3, 1.0, 9.0), (3, 4, 1.0, 1.0)], "u long, v long, cost_m0 double, cost_m3 double")
+    got = rows(routing.reach_gaps(nodes, streets, spark.createDataFrame([(1,), (3,)], "node long"), 10.0), "source", "node")
+    assert got == [(1, 1, "reached"), (1, 3, "slope"), (3, 1, "detour"), (3, 3, "reached")]
