@@ -136,7 +136,7 @@ def inner_points(spark, sf_dir):
 def holed_counts(spark, sf_dir):
     """Points strictly inside each area and outside its hole."""
     a = with_holes(spark, sf_dir)
-    found = spatial.containing(view(spark, sf_dir, "points"), a.select("area_id", "rings"), 400.0).groupBy("area_id").agg(F.count("*").alias("points"))
+    found = spatial.counted_within(view(spark, sf_dir, "points"), a.select("area_id", "rings"), "area_id", 400.0)
     return a.select("area_id").join(found, "area_id", "left").fillna(0, subset=["points"])
 
 

@@ -260,3 +260,23 @@ def test_reach_gaps_by_shortcuts(spark):
     streets = spark.createDataFrame([(1, 2, 1.0, 9.0), (2, 3, 1.0, 9.0), (3, 4, 1.0, 1.0)], "u long, v long, cost_m0 double, cost_m3 double")
     got = rows(routing.reach_gaps(nodes, streets, spark.createDataFrame([(1,), (3,)], "node long"), 10.0), "source", "node")
     assert got == [(1, 1, "reached"), (1, 3, "slope"), (3, 1, "detour"), (3, 3, "reached")]
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_counts_within_without_pairs(spark, monkeypatch, most):
+    """As many points as containing() has pairs, on slanted, holed, crossing and double shapes, corners and borders, also in blocks; but no row for each pair."""
+    if most:
+        monkeypatch.setattr(spatial, "_BLOCK_POINTS", most)
+        monkeypatch.setattr(spatial, "_BLOCK_AREAS", 1)
+    shapes = [
+        ("holed", [[(0, 0), (12, 0), (12, 9), (0, 9)], [(2, 6), (4, 6), (4, 2), (2, 2)]]), ("slanted", [[(1, 1), (11, 4), (5, 9)]]), ("crossing", [[(0, 0), (8, 8), (8, 0), (0, 8)]]),
+        ("two", [[(0, 0), (3, 0), (3, 3), (0, 3)], [], [(6, 6), (9, 6), (9, 9), (6, 9)]]), ("far", [[(50, 50), (51, 50), (51, 51)]]), ("empty", []), ("none", None),
+    ]
+    shapes = [(name, rings and [[(float(x), float(y)) for x, y in r] for r in rings]) for name, rings in shapes]
+    areas = spark.createDataFrame(shapes, f"area string, rings {g.SHAPE}")
+    points = [(x / 2, y / 2) for x in range(-2, 28) for y in range(-2, 22)] + [(1.5, 1.5)] * 5 + [(None, 1.0), (1.0, None), (float("nan"), 1.0), (1.0, float("nan"))]
+    points = spark.createDataFrame(points, "x double, y double")
+    want = spatial.containing(points, areas, 5.0).groupBy("area").count()
+    got = spatial.counted_within(points, areas, "area", 5.0)
+    assert rows(got, "area") == rows(want, "area") and got.count() == 4
+    assert "shape_within" not in got._jdf.queryExecution().toString() and "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
