@@ -34,6 +34,17 @@ def variant_costs(edges: DataFrame, variants: DataFrame, p: costs.CostParameters
     return usable.crossJoin(F.broadcast(variants)).withColumn("cost_m3", number(length) * (1.0 + p.alpha * capped) * weather)
 
 
+def variant_columns(edges: DataFrame, variants: DataFrame, p: costs.CostParameters = costs.DEFAULTS, length: str = "length_m", grade: str = "grade_abs_percent") -> tuple[DataFrame, dict[str, str]]:
+    """Usable edges once, with a cost_m3 column for each variant, and the variants by column: for routing, which takes all weights of an edge at once."""
+    usable = edges.where(number(length).isNotNull() & costs.sane_grade(grade, p).isNotNull()).withColumns({"_length": number(length), "_grade": F.abs(number(grade))})
+    named, made = {}, {}
+    for k, v in enumerate(variants.orderBy("variant").collect()):
+        capped = F.least("_grade", F.lit(v.cap))
+        weather = 1.0 + F.lit(v.beta_weather) * F.lit(v.intensity) + F.lit(v.interaction_beta) * F.lit(v.intensity) * capped / 100.0
+        named[f"cost_v{k}"], made[f"cost_v{k}"] = v.variant, F.col("_length") * (1.0 + p.alpha * capped) * weather
+    return usable.withColumns(made).drop("_length", "_grade"), named
+
+
 def senior_minutes(edges: DataFrame, policies: Sequence[str] = tuple(senior.STEPS), length: str = "length_m", signed: str = "grade_percent", absolute: str = "grade_abs_percent", highway: str = "highway") -> DataFrame:
     """Columns minutes_<policy> in dry weather; NULL where steps are a barrier."""
     return edges.withColumns({f"minutes_{x}": senior.edge_minutes(length, signed, highway, policy=x, absolute_grade=absolute) for x in policies})

@@ -9,16 +9,22 @@ at most.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.cleaning import number
-from terrane.functions.store import cut
+from terrane.functions.store import Rewritten, bucketed, cut
 from terrane.operators.edges import graph_edges
 
 
+#: Nodes still open, at most, that are broadcast to leave out messages to all others.
+_FEW_OPEN = 1 << 17
+
+
 def nearest_cost(edges: DataFrame, destinations: DataFrame, weights: Sequence[str], node: str = "node", by: Sequence[str] = ()) -> DataFrame:
     """(by, node, weights): least cost from each node to any destination, all weights at once; NULL where one cannot be reached.
 
@@ -26,33 +32,54 @@ def nearest_cost(edges: DataFrame, destinations: DataFrame, weights: Sequence[st
     `by` names variant columns of the edges that are routed apart (destinations
     are the same for all). Destinations that are no end of an edge are passed
     over; none at all is an error.
+
+    Edges are written once, in buckets by head. Costs up to a limit are settled
+    before the limit doubles, so an edge is followed about once and not each time
+    that its head improves; at the end only edges of nodes that are still open are.
     """
     by, weights = list(by), list(weights)
-    if by:
-        valid = [F.min(F.when(F.col(w) >= 0, F.col(w))).alias(w) for w in weights]
-        graph = edges.where("u is not null and v is not null").groupBy(*by, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).agg(*valid)
-    else:
-        graph = graph_edges(edges, weights)
-    graph = cut(graph.repartition(*by, "v"))
-    ends = graph.select(*by, F.col("u").alias("node")).union(graph.select(*by, "v")).distinct()
+    cost = {w: F.when(number(w) >= 0, number(w)).alias(w) for w in weights}
+    known = lambda prefix="": F.coalesce(*(F.col(f"{prefix}{w}") for w in weights)).isNotNull()
+    ends = edges.select(*by, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), *cost.values())
+    graph, drop = bucketed(ends.where("u is not null and v is not null").where(known()), "v")
     goals = destinations.select(F.col(node).cast("long").alias("node")).where("node is not null").distinct()
-    state = cut(ends.join(goals, "node", "left_semi").select(*by, "node", *(F.lit(0.0).alias(w) for w in weights)))
-    if state.isEmpty():
+    heads = graph.select(*by, F.col("v").alias("node")).join(goals, "node", "left_semi").select(*by, "node").distinct()
+    nodes = graph.select(*by, F.col("u").alias("node")).distinct().union(heads).distinct()
+    table = Rewritten("costs")
+    first = nodes.join(goals.withColumn("_goal", F.lit(True)), "node", "left").select(*by, "node", *(F.when(F.col("_goal"), 0.0).alias(w) for w in weights), *(F.lit(False).alias(f"_new_{w}") for w in weights))
+    state = table.write(first)
+    if state.where(known()).isEmpty():
+        drop()
         raise ValueError("no destination is on the network")
-    frontier = state
+    new = F.greatest(*(F.col(f"_new_{w}") for w in weights)) if len(weights) > 1 else F.col(f"_new_{weights[0]}")
+    mean = graph.agg(F.avg(F.coalesce(*weights))).first()[0]
+    low, high = 0.0, mean / 4 if mean else math.inf
+    few = None
     while True:
-        step = frontier.select(*by, F.col("node").alias("v"), *(F.col(w).alias(f"_{w}") for w in weights))
-        found = graph.join(step, [*by, "v"]).groupBy(*by, F.col("u").alias("node")).agg(*(F.min(F.col(f"_{w}") + F.col(w)).alias(f"_{w}") for w in weights))
-        better = [F.coalesce(F.col(f"_{w}") < F.col(w), F.col(f"_{w}").isNotNull()) for w in weights]
-        merged = state.join(found, [*by, "node"], "full").select(
-            *by, "node", *(F.least(w, f"_{w}").alias(w) for w in weights), *(F.when(b, F.col(f"_{w}")).alias(f"_{w}") for w, b in zip(weights, better, strict=True))
-        )
-        merged = cut(merged)
-        state = merged.select(*by, "node", *weights)
-        changed = F.coalesce(*(F.col(f"_{w}") for w in weights)).isNotNull()
-        frontier = merged.where(changed).select(*by, "node", *(F.col(f"_{w}").alias(w) for w in weights))
-        if frontier.isEmpty():
-            return state
+        for turn in itertools.count():
+            # at first all nodes send what lies between the limits, then those that improved
+            sent = {w: F.when(F.lit(turn == 0) | F.col(f"_new_{w}"), F.col(w)).alias(f"_{w}") for w in weights}
+            step = state.where(known() if turn == 0 else new).select(*by, F.col("node").alias("v"), *sent.values())
+            total = {w: F.col(f"_{w}") + F.col(w) for w in weights}
+            within = {w: F.when((c < high) & (c >= (low if turn == 0 else 0.0)), c).alias(f"_{w}") for w, c in total.items()}
+            met = graph.join(step.hint("shuffle_hash"), [*by, "v"]).select(*by, F.col("u").alias("node"), *within.values()).where(known("_"))
+            met = met if few is None else met.join(F.broadcast(few), [*by, "node"], "left_semi")
+            found = met.groupBy(*by, "node").agg(*(F.min(f"_{w}").alias(f"_{w}") for w in weights))
+            better = {w: F.coalesce(F.col(f"_{w}") < F.col(w), F.col(f"_{w}").isNotNull()).alias(f"_new_{w}") for w in weights}
+            state = table.write(state.join(found, [*by, "node"], "left").select(*by, "node", *(F.least(w, f"_{w}").alias(w) for w in weights), *better.values()))
+            if state.where(new).isEmpty():
+                break
+        # costs under the limit are final; others may still fall or be found
+        unsettled = F.lit(False)
+        for w in weights:
+            unsettled = unsettled | F.coalesce(F.col(w) >= high, F.lit(True))
+        left = state.where(unsettled).select(*by, "node")
+        n_left = left.limit(_FEW_OPEN + 1).count()
+        if math.isinf(high) or n_left == 0:
+            drop()
+            return state.where(known()).select(*by, "node", *weights)
+        few = cut(left) if n_left <= _FEW_OPEN else None
+        low, high = high, 2 * high if turn else math.inf  # a limit that changed nothing: what is left is far or cut off
 
 
 def k_nearest_cost(edges: DataFrame, destinations: DataFrame, weight: str, k: int, node: str = "node") -> DataFrame:

@@ -222,10 +222,17 @@ vd(variant, node, cost) using key (variant, node) as (
   select e.variant, e.u, min(d.cost + e.w) from vd d join vedges e on e.v = d.node and e.variant = d.variant left join recurring.vd r on r.node = e.u and r.variant = e.variant where r.cost is null or d.cost + e.w < r.cost group by all)"""
 
 
+def variant_paths(spark, sf_dir):
+    """(variant, node, cost_m3): all variants are weights of one graph."""
+    e, named = edge_ops.variant_columns(view(spark, sf_dir, "edges"), variants(spark))
+    found = routing.nearest_cost(e, view(spark, sf_dir, "stops"), list(named))
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(c).alias("cost_m3")) for c, v in named.items())))
+    return found.select("node", each.alias("c")).select("c.variant", "node", "c.cost_m3").where("cost_m3 is not null")
+
+
 @register("r21_routed_variants", rounded(model_sql(VARIANT_PATHS + " select variant, count(*) as nodes, sum(cost) as total, max(cost) as furthest from vd group by 1"), "total", "furthest"))
 def routed_variants(spark, sf_dir):
-    e = edge_ops.variant_costs(view(spark, sf_dir, "edges"), variants(spark)).select("variant", "u", "v", "cost_m3")
-    found = routing.nearest_cost(e, view(spark, sf_dir, "stops"), ["cost_m3"], by=["variant"])
+    found = variant_paths(spark, sf_dir)
     return found.groupBy("variant").agg(F.count("*").alias("nodes"), F.sum("cost_m3").alias("total"), F.max("cost_m3").alias("furthest"))
 
 
@@ -237,8 +244,7 @@ f as (select *, score >= quantile_cont(score, 0.8) over (partition by variant) a
 j as (select f.variant, f.flag, b.flag as base from f join f b on b.hex_id = f.hex_id and b.variant = 'base')
 select variant, count(*) filter (flag) as "count", count(*) filter (base) as baseline_count, count(*) filter (flag and base) / count(*) filter (flag or base) as jaccard, count(*) filter (base and not coalesce(flag, false)) / count(*) filter (base) as replacement_rate from j group by 1"""), "jaccard", "replacement_rate"))
 def variant_flags(spark, sf_dir):
-    e = edge_ops.variant_costs(view(spark, sf_dir, "edges"), variants(spark)).select("variant", "u", "v", "cost_m3")
-    found = routing.nearest_cost(e, view(spark, sf_dir, "stops"), ["cost_m3"], by=["variant"]).withColumnRenamed("node", "origin_node_id")
+    found = variant_paths(spark, sf_dir).withColumnRenamed("node", "origin_node_id")
     cells = found.join(view(spark, sf_dir, "cells"), "origin_node_id").withColumn("m0", F.lit(0.0))
     flags = cut(sensitivity.variant_flags(cells, "variant", "cost_m3", "demand", m0="m0"))
     return sensitivity.against_baseline(flags, flags.where("variant = 'base'"), "variant", flag="vulnerable")

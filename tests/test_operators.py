@@ -1,9 +1,12 @@
 """Operators against small hand-computed cases."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as g
+from terrane.functions import store
 from terrane.operators import edges, population, reports, routing, scenario, sensitivity, spatial
 from terrane.operators import vulnerability as vul
 
@@ -280,3 +283,33 @@ def test_counts_within_without_pairs(spark, monkeypatch, most):
     got = spatial.counted_within(points, areas, "area", 5.0)
     assert rows(got, "area") == rows(want, "area") and got.count() == 4
     assert "shape_within" not in got._jdf.queryExecution().toString() and "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_nearest_cost_by_limits(spark, monkeypatch):
+    """Costs of all sizes, chains, far and cut-off nodes, as Dijkstra finds them; edges that lead to settled nodes are not followed again, and only one table of costs is kept."""
+    import heapq
+    import random
+
+    pick = random.Random(4)
+    e = [(pick.randrange(80), pick.randrange(80), pick.choice([0.0, 1.0, 7.0, 60.0]), pick.choice([None, 2.0, 9.0])) for _ in range(240)]
+    e += [(100 + k, 99 + k if k else 3, 1.0, 500.0) for k in range(12)] + [(200, 100, 1e6, 1e6), (300, 301, 1.0, 1.0), (301, 300, 1.0, 1.0)]
+    goals = [3, 17, 999]
+    kept, writes = [], store.Rewritten.write
+    monkeypatch.setattr(store.Rewritten, "write", lambda self, df: (writes(self, df), kept.append(self.path))[0])
+
+    def dijkstra(k):
+        best, heap = {}, [(0.0, g) for g in goals if any(g in x[:2] for x in e)]
+        while heap:
+            c, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = c
+                for x in e:
+                    if x[1] == n and x[k] is not None:
+                        heapq.heappush(heap, (c + x[k], x[0]))
+        return best
+
+    a, b = dijkstra(2), dijkstra(3)
+    got = routing.nearest_cost(spark.createDataFrame(e, "u long, v long, a double, b double"), spark.createDataFrame([(g,) for g in goals], "node long"), ["a", "b"])
+    assert rows(got, "node") == [(n, a.get(n), b.get(n)) for n in sorted(a.keys() | b.keys())]
+    assert len(kept) > 3 and [Path(p.removeprefix("file:")).exists() for p in kept] == [False] * (len(kept) - 1) + [True]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("terrane_")]
